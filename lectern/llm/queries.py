@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import licenses, mixing, packing
+from lectern.llm import licenses, lshforest, mixing, packing
 from lectern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,14 +25,19 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, mixing.word_count(F.col("text")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op10_pack_batches)}
+    found = (op1_license_scan, op2_mix_sources, op9_near_duplicates, op10_pack_batches)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.scan_sql(), "op2_mix_sources": mixing.MIX_SQL}
+    return {"op1_license_scan": licenses.scan_sql(), "op2_mix_sources": mixing.MIX_SQL, "op9_near_duplicates": lshforest.NEAR_SQL}
