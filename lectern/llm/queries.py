@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import licenses, lshforest, mixing, packing
+from lectern.llm import fertility, langmix, licenses, lshforest, mixing, packing, toxicity
 from lectern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,32 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
+def _crc(modulus: int) -> Column:
+    """crc32 of the doc_id as text, modulo; null for a null doc_id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langmix.learn(docs, _crc(3) != 1)
+    out = langmix.identify(docs, model)
+    sets = F.array_join(F.transform("lang_set", lambda x: x["lang"]), "|").alias("languages")
+    return out.select("doc_id", F.coalesce(_crc(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", sets)
+
+
+def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = fertility.quality(docs, lang=F.col("lang"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select(*base, "n_tokens", *(F.round(c, 9).alias(c) for c in fertility.LEAST_MARGIN))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels, _crc(3) != 1)
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(_crc(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -35,7 +61,7 @@ def op10_pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_license_scan, op2_mix_sources, op9_near_duplicates, op10_pack_batches)
+    found = (op1_license_scan, op2_mix_sources, op5_language_mixture, op7_tokeniser_fertility, op8_toxicity, op9_near_duplicates, op10_pack_batches)
     return {f.__name__: f for f in found}
 
 
