@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the session's Python workers, wherever they run; once for each session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lectern_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="lectern-")) / "lectern_package.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(out))
+    sc._lectern_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; the path is read by Spark alone, so any store that Spark reads will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
