@@ -22,15 +22,17 @@ from lectern.llm.text_arrays import chunks, shingles, utf8, word_hashes
 from lectern.session import checkpointed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Quartile distances by which a figure may leave the quartiles.
-REACH = 5.0
+#: Quartile distances by which a long text's figure may leave the quartiles.
+REACH = 2.75
+#: Of short texts, whose figures vary more, the distance grows by this over the root of the number of words.
+SHORT = 4.0
 #: A language with fewer texts than this uses the band over all texts.
 LEAST_TEXTS = 50
 #: Words whose pieces a worker remembers.
 MOST_WORDS = 1_000_000
 WINDOW = 8
 # Bands never get narrower than this on either side of the quartiles.
-LEAST_MARGIN = {"chars_per_token": 0.5, "byte_share": 0.10, "token_entropy": 0.10}
+LEAST_MARGIN = {"chars_per_token": 0.1, "byte_share": 0.10, "token_entropy": 0.10}
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -187,7 +189,7 @@ def measure(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, ...]
 def judge(measured: DataFrame, reach: float = REACH, least: int = LEAST_TEXTS) -> DataFrame:
     """``measured`` with kept boolean: false if base_failed, else whether all three figures lie in the band.
 
-    Bands reach ``reach`` quartile distances beyond the quartiles of the texts that pass the base rules, language by
+    Bands reach ``reach`` quartile distances (more for short texts) beyond the quartiles of the texts that pass the base rules, language by
     language; one row for each language reaches the driver. Characters per token have both ends, the byte share only
     an upper one, the entropy only a lower one. Without any text that passes, nothing is kept.
     """
@@ -203,7 +205,7 @@ def judge(measured: DataFrame, reach: float = REACH, least: int = LEAST_TEXTS) -
             if row[c] is None:
                 return F.lit(False)
             q1, q3 = row[c]
-            margin = max(reach * (q3 - q1), LEAST_MARGIN[c])
+            margin = F.lit(max(reach * (q3 - q1), LEAST_MARGIN[c])) * (1 + F.lit(SHORT) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
             if c != "token_entropy":
                 ok = ok & (F.col(c) <= q3 + margin)
             if c != "byte_share":
