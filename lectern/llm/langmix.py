@@ -137,21 +137,24 @@ def _columns(df: DataFrame) -> list[tuple]:
     return list(zip(*[c.to_pylist() for c in t.columns], strict=True)) if t.num_rows else []
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """Columns ``keep``, then lang_pred string, score double, lang_set array<struct<lang string, share double>>.
 
+    The three names start with ``prefix``.
+
     ``lang_pred`` is a learned language, or ``und`` (score 0, empty set) where the text is null or has no letter, or
     where nothing was learned. Equal texts get equal predictions; repeated rows stay; an empty table gives an empty
     one; no other column than text is read. A batch of texts is held at once, a very long text alone.
     """
+    text = "text" if "text" in keep else "__text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in batches:
             sets: list[list[tuple[str, float]]] = []
             waiting: list[np.ndarray] = []
-            for text in f.column("__text").to_pylist():
-                waiting.append(trigrams(text))
+            for one in f.column(text).to_pylist():
+                waiting.append(trigrams(one))
                 if sum(map(len, waiting[-1:])) + len(waiting) * 2000 > _CHARS or len(waiting) >= 64:
                     sets += shared.value.infer(waiting)
                     waiting = []
@@ -162,8 +165,8 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 pa.array([min(1.0, s[0][1]) if s else 0.0 for s in sets], pa.float64()),
                 pa.array([[{"lang": x, "share": y} for x, y in s] for s in sets], kind),
             ]
-            yield pa.RecordBatch.from_arrays([*[f.column(c) for c in keep], *made], [*keep, "lang_pred", "score", "lang_set"])
+            yield pa.RecordBatch.from_arrays([*[f.column(c) for c in keep], *made], [*keep, f"{prefix}lang_pred", f"{prefix}score", f"{prefix}lang_set"])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "lang_pred string, score double, lang_set array<struct<lang:string,share:double>>"])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(predict, schema)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"{prefix}lang_pred string, {prefix}score double, {prefix}lang_set array<struct<lang:string,share:double>>"])
+    return docs.select(*keep, *([] if text == "text" else [F.col("text").alias("__text")])).mapInArrow(predict, schema)

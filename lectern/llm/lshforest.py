@@ -23,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.text_arrays import chunks, mix64, shingles, utf8, word_hashes
 from lectern.operators.graph import connected_components
@@ -228,6 +229,14 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
     return pairs.mapInArrow(_confirmed(percent), "a long, b long")
 
 
+def components(docs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """(node, doc_id, component): the classes of equal sets with a number for what they are linked to."""
+    nodes = checkpointed(classes(signed))
+    pairs = checkpointed(candidates(nodes, percent))
+    found = connected_components(confirmed(docs, nodes, pairs, percent))
+    return nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """For each row of ``docs``: doc_id, n_shingles, component_id long, kept boolean.
 
@@ -240,10 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     empty table gives an empty one. Other columns aren't read. Nothing that grows with the rows reaches the driver.
     """
     signed = checkpointed(signatures(docs))
-    nodes = checkpointed(classes(signed))
-    pairs = checkpointed(candidates(nodes, percent))
-    found = connected_components(confirmed(docs, nodes, pairs, percent))
-    grouped = nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    grouped = components(docs, signed, percent)
     smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = grouped.select("node", "component").join(smallest, "component").select("node", "component_id")
     out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
@@ -251,8 +257,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _with_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for f in batches:
+        nodes = pa.array([_node(s) for s in shingle_sets(f.column("text"))], pa.int64())
+        yield pa.RecordBatch.from_arrays([*f.columns, nodes], [*f.schema.names, "__node"])
+
+
+def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: one that has the smallest doc_id, null last.
+
+    Rows without words stay all. Columns, whatever their names, are those of ``docs``.
+    """
+    grouped = components(docs, checkpointed(signatures(docs)), percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("node"))).alias("m")
+    winners = grouped.groupBy("component").agg(first)
+    id_, none = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull()
+    winners = winners.select(F.col("m.node").alias("__node"), F.coalesce("m.doc_id", F.lit(-1)).alias("__id"), F.col("m.none").alias("__none"), F.lit(True).alias("__won"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())])
+    rows = docs.mapInArrow(_with_nodes, schema).withColumn("__id", id_).withColumn("__none", none)
+    keys = ["__node", "__id", "__none"]
+    one = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text")))
+    joined = rows.join(winners, keys, "left").where(F.col("__won") | F.col("__node").isNull()).withColumn("__one", one)
+    return joined.where((F.col("__one") == 1) | F.col("__node").isNull()).select(*docs.columns)
+
+
 NEAR_SQL = r"""
-WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 runs AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1)::BIGINT + 1)) AS i FROM words WHERE len(w) > 0),
 sets AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], chr(10))) AS s FROM runs),
 sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM sets GROUP BY doc_id),

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.session import checkpointed
@@ -183,6 +183,20 @@ def in_turn(sources: Sequence[str | None]) -> dict[str | None, Schedule]:
     return {s: CURRICULUM[i % len(CURRICULUM)] for i, s in enumerate(sources)}
 
 
+def mixed_rows(docs: DataFrame, schedule_of: Callable[[Sequence[str | None]], Mapping[str | None, Schedule]], size: Column, budget: int | None = None, epochs: int = 3) -> DataFrame:
+    """``docs`` as training takes them: a row for each take, sorted by training position; columns as they were.
+
+    Documents that aren't taken, those of size 0 among them, are left out. Rows that are equal in doc_id, text and
+    source are told apart by number only.
+    """
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text", F.col("source").isNull(), "source")
+    takes = mix(docs.withColumn("__row", row), schedule_of, size, tie=[row], budget=budget, epochs=epochs, keep=("__row",))
+    takes = takes.where("taken > 0").groupBy("__row").agg(F.sort_array(F.collect_list("positions")).alias("__takes"))
+    numbered = docs.withColumn("__row", row).withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
+    out = numbered.join(takes, "__row").withColumn("__at", F.explode(F.get("__takes", F.col("__n") - 1)))
+    return out.orderBy("__at", "__row").select(*docs.columns)
+
+
 MIX_SQL = r"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM sized GROUP BY source),

@@ -139,19 +139,20 @@ def learn(docs: DataFrame, labels: DataFrame, learns: Column, most: int = SAMPLE
     return fit([(set(words), int(toxic > 0)) for _, toxic, words in rows])
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), at: float = 0.7) -> DataFrame:
-    """Columns ``keep``, then score double (0 to 1) and predicted int (1 if score >= ``at``).
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), at: float = 0.7, prefix: str = "") -> DataFrame:
+    """Columns ``keep``, then score double (0 to 1) and predicted int (1 if score >= ``at``), named with ``prefix``.
 
     Null and empty texts score as texts without a known word. Equal texts score alike; repeated rows stay; an empty
     table gives an empty one; only text is read.
     """
+    text = "text" if "text" in keep else "__text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in batches:
-            made = np.array([shared.value.score(t) for t in f.column("__text").to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*[f.column(c) for c in keep], pa.array(made), pa.array((made >= at).astype(np.int32))], [*keep, "score", "predicted"])
+            made = np.array([shared.value.score(t) for t in f.column(text).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([*[f.column(c) for c in keep], pa.array(made), pa.array((made >= at).astype(np.int32))], [*keep, f"{prefix}score", f"{prefix}predicted"])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "score double, predicted int"])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"{prefix}score double, {prefix}predicted int"])
+    return docs.select(*keep, *([] if text == "text" else [F.col("text").alias("__text")])).mapInArrow(run, schema)
