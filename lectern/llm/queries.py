@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import fertility, langmix, licenses, lshforest, mixing, ordermin, packing, toxicity
+from lectern.llm import fertility, langmix, licenses, lshforest, mixing, ordermin, packing, pitman, toxicity
 from lectern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_crc(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", sets)
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman.score(table(spark, sf_dir, "documents"), learns=_crc(10) != 0, held_out=_crc(10) == 0)
+
+
 def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = fertility.quality(docs, lang=F.col("lang"))
@@ -65,7 +69,7 @@ def op10_pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_license_scan, op2_mix_sources, op3_order_minhash, op5_language_mixture, op7_tokeniser_fertility, op8_toxicity, op9_near_duplicates, op10_pack_batches)
+    found = (op1_license_scan, op2_mix_sources, op3_order_minhash, op5_language_mixture, op6_pitman_yor, op7_tokeniser_fertility, op8_toxicity, op9_near_duplicates, op10_pack_batches)
     return {f.__name__: f for f in found}
 
 
