@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import fertility, langmix, licenses, lshforest, mixing, ordermin, packing, pitman, toxicity
+from lectern.llm import fertility, langmix, licenses, lshforest, mixing, ordermin, packing, pitman, toxicity, urlgraph
 from lectern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langmix.learn(docs, _crc(3) != 1)
@@ -69,9 +73,9 @@ def op10_pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_license_scan, op2_mix_sources, op3_order_minhash, op5_language_mixture, op6_pitman_yor, op7_tokeniser_fertility, op8_toxicity, op9_near_duplicates, op10_pack_batches)
+    found = (op1_license_scan, op2_mix_sources, op3_order_minhash, op4_url_graph, op5_language_mixture, op6_pitman_yor, op7_tokeniser_fertility, op8_toxicity, op9_near_duplicates, op10_pack_batches)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.scan_sql(), "op2_mix_sources": mixing.MIX_SQL, "op9_near_duplicates": lshforest.NEAR_SQL}
+    return {"op1_license_scan": licenses.scan_sql(), "op2_mix_sources": mixing.MIX_SQL, "op4_url_graph": urlgraph.judge_sql(), "op9_near_duplicates": lshforest.NEAR_SQL}
