@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import checkpointed
+
 #: Labelled rows to learn from, at most.
 SAMPLE = 20_000
 WORDS = 5_000
@@ -71,25 +73,38 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit(rows: Sequence[tuple[set[str], int]], swap: float = SWAP, identities: Sequence[Sequence[str]] = IDENTITIES) -> Model:
-    """Learns from (word set, label) pairs, in the order given; the same pairs give the same model."""
+def strength(n: float, toxic: float, rate: float) -> float:
+    """Standard deviations by which a word's toxic rows differ from what the overall rate predicts."""
+    return (toxic - n * rate) / (n * rate * (1 - rate) + 1e-9) ** 0.5
+
+
+def terms(identities: Sequence[Sequence[str]] = IDENTITIES) -> set[str]:
+    return {t for kind in identities for t in kind}
+
+
+def choose(counts: dict[str, tuple[int, int]], rate: float, identities: Sequence[Sequence[str]] = IDENTITIES) -> list[str]:
+    """The vocabulary from each word's (rows, toxic rows): the strongest words, identity terms among them."""
+    strong = [(-abs(z), w) for w, (n, toxic) in counts.items() if n >= LEAST_DOCS and (abs(z := strength(n, toxic, rate)) >= LEAST_Z or w in terms(identities))]
+    return [w for _, w in sorted(strong)[:WORDS]]
+
+
+def fit(rows: Sequence[tuple[set[str], int]], swap: float = SWAP, identities: Sequence[Sequence[str]] = IDENTITIES, vocabulary: Sequence[str] | None = None) -> Model:
+    """Learns from (word set, label) pairs, in the order given; the same pairs give the same model.
+
+    Without ``vocabulary`` it is chosen from the pairs; with one, other words aren't looked at.
+    """
     if not rows:
         return Model({}, 0.0)
     y = np.array([label for _, label in rows], float)
-    seen: dict[str, list[int]] = {}
-    for words, label in rows:
-        for w in words:
-            n = seen.setdefault(w, [0, 0])
-            n[label] += 1
-    terms = {t for kind in identities for t in kind}
-    n1, n0 = y.sum(), len(y) - y.sum()
-    rate = (n1 + 0.5) / (n1 + n0 + 1)
-
-    def z(n: list[int]) -> float:
-        return (n[1] - sum(n) * rate) / np.sqrt(sum(n) * rate * (1 - rate) + 1e-9)
-
-    strong = [(-abs(z(n)), w) for w, n in seen.items() if sum(n) >= LEAST_DOCS and (abs(z(n)) >= LEAST_Z or w in terms)]
-    vocabulary = {w: i for i, (_, w) in enumerate(sorted(strong)[:WORDS])}
+    rate = (y.sum() + 0.5) / (len(y) + 1)
+    if vocabulary is None:
+        seen: dict[str, tuple[int, int]] = {}
+        for words, label in rows:
+            for w in words:
+                n, toxic = seen.get(w, (0, 0))
+                seen[w] = (n + 1, toxic + label)
+        vocabulary = choose(seen, rate, identities)
+    vocabulary = {w: i for i, w in enumerate(vocabulary)}
     if not vocabulary:
         return Model({}, float(np.log(rate / (1 - rate))))
 
@@ -127,16 +142,30 @@ def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, learns: Column, most: int = SAMPLE) -> Model:
     """Fits the classifier on up to ``most`` labelled rows of ``docs`` where ``learns`` (over doc_id) holds.
 
-    A document's label is 1 if any of its labels is; null labels are left out. The sample's word sets reach the driver:
-    ``most`` bounds them.
+    A document's label is 1 if any of its labels is; null labels are left out. Spark counts the sample's words; the
+    driver gets the vocabulary, and of each sampled row the words that belong to it.
     """
     chosen = labels.where(learns & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # ``most`` ids and labels: 16 bytes each
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = texts.mapInArrow(_worded, "doc_id long, toxic int, words array<string>").toArrow()
+    sample = checkpointed(texts.mapInArrow(_worded, "doc_id long, toxic int, words array<string>"))
+    n, n1 = sample.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
+    rate = (n1 + 0.5) / (n + 1)
+    counted = sample.select(F.explode("words").alias("word"), (F.col("toxic") > 0).cast("int").alias("toxic")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    z = F.abs((F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1e-9))
+    strong = counted.where((F.col("n") >= LEAST_DOCS) & ((z >= LEAST_Z) | F.col("word").isin(sorted(terms())))).orderBy(z.desc(), "word").limit(WORDS)
+    vocabulary = [r["word"] for r in strong.collect()]
+    wanted = set(vocabulary)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            words = pa.array([[w for w in ws if w in wanted] for ws in f.column("words").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([f.column("doc_id"), f.column("toxic"), words], ["doc_id", "toxic", "words"])
+
+    got = sample.mapInArrow(known, sample.schema).toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), got["words"].to_pylist(), strict=True), key=lambda r: (r[0], r[2]))
-    return fit([(set(words), int(toxic > 0)) for _, toxic, words in rows])
+    return fit([(set(words), int(toxic > 0)) for _, toxic, words in rows], vocabulary=vocabulary)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), at: float = 0.7, prefix: str = "") -> DataFrame:
