@@ -87,7 +87,8 @@ def json_text(text: Column) -> Column:
     braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     mended = F.regexp_replace(braces, r",\s*([}\]])", "$1")
     tries = [text, F.when(F.size(F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1))) > 0, fenced), braces, mended]
-    return F.coalesce(*[F.when(F.try_parse_json(F.trim(t)).isNotNull() & (F.trim(t) != ""), F.trim(t)) for t in tries])
+    bare = [F.regexp_replace(t, r"^\s+|\s+$", "") for t in tries]
+    return F.coalesce(*[F.when(F.try_parse_json(t).isNotNull() & (t != ""), t) for t in bare])
 
 
 def matches_any_of_groups(text: Column, groups: Sequence[Sequence[str]]) -> Column:

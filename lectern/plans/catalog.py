@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["exact_dedup"](spark, sf_dir)
+    """Near-duplicate texts resolved to clusters, the twenty largest ones first."""
+    return queries()["cluster_merge"](spark, sf_dir).orderBy(F.col("size").desc(), "doc_id").limit(20)
