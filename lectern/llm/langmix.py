@@ -24,7 +24,8 @@ STEPS = 12
 PENALTY = 0.02
 #: Languages are tags in the data; more than this many point to a wrong column.
 MOST_LANGUAGES = 1000
-_CHARS = 1 << 18
+#: Trigrams that are fitted together; a text isn't cut.
+HELD = 1 << 17
 
 _LETTER: np.ndarray | None = None
 
@@ -152,12 +153,13 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in batches:
             sets: list[list[tuple[str, float]]] = []
-            waiting: list[np.ndarray] = []
+            waiting, held = [], 0
             for one in f.column(text).to_pylist():
                 waiting.append(trigrams(one))
-                if sum(map(len, waiting[-1:])) + len(waiting) * 2000 > _CHARS or len(waiting) >= 64:
+                held += len(waiting[-1])
+                if held >= HELD:
                     sets += shared.value.infer(waiting)
-                    waiting = []
+                    waiting, held = [], 0
             sets += shared.value.infer(waiting)
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
             made = [

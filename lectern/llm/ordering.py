@@ -12,11 +12,6 @@ from lectern.session import checkpointed
 _ROWS = (1 << 33) - 1
 
 
-def spread(df: DataFrame, rows: int = 4096) -> int:
-    """A number of partitions that grows with the rows, never under the session's."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
-
-
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """``df`` with ``name`` long: 0, 1, ... in the given order; rows that tie get different ranks.
 
