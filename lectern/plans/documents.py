@@ -238,20 +238,21 @@ _QUOTA = 100
     "quota_select",
     f"""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), q AS (SELECT source, greatest(1, floor({_QUOTA} * n::DOUBLE / (SELECT sum(n) FROM c)))::BIGINT AS base FROM c),
     f AS (SELECT source, base, row_number() OVER (ORDER BY base DESC, source) AS k, count(*) OVER () AS m, sum(base) OVER () AS got FROM q),
-    quota AS (SELECT source, base + CASE WHEN got < {_QUOTA} THEN ({_QUOTA} - got) // m + (k <= ({_QUOTA} - got) % m)::BIGINT ELSE 0 END AS quota FROM f),
+    quota AS (SELECT source, base + CASE WHEN got < {_QUOTA} THEN ({_QUOTA} - got) // m + (k <= ({_QUOTA} - got) % m)::BIGINT ELSE 0 END AS grown, CASE WHEN got > {_QUOTA} THEN (got - {_QUOTA}) // m + (k <= (got - {_QUOTA}) % m)::BIGINT ELSE 0 END AS cut FROM f),
     r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents)
-    SELECT doc_id, source, place::BIGINT AS place, round(0.3::DOUBLE * n_chars / max(n_chars) OVER () + 0.7, 6) AS score FROM r JOIN quota USING (source) WHERE place <= quota""",
+    SELECT doc_id, source, place::BIGINT AS place, round(0.3::DOUBLE * n_chars / max(n_chars) OVER () + 0.7, 6) AS score FROM r JOIN quota USING (source) WHERE place <= greatest(1, grown - cut)""",
 )
 def quota_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proportional quotas by source, what is missing given out in turn from the largest; the longest texts fill them."""
+    """Proportional quotas by source, what is missing given out, or what is too much taken back, in turn from the largest, none under one; the longest texts fill them."""
     docs = _docs(spark, sf_dir).select("doc_id", "source", "n_chars")
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     base = counts.join(F.broadcast(total)).select("source", F.greatest(F.lit(1), F.floor(_QUOTA * F.col("n") / F.col("total"))).alias("base"))
     one = Window.orderBy(F.col("base").desc(), "source")  # a row for each source
     every = Window.partitionBy(F.lit(1))
-    ranked = base.withColumn("k", F.row_number().over(one)).withColumn("m", F.count("*").over(every)).withColumn("short", F.greatest(F.lit(0), _QUOTA - F.sum("base").over(every)))
-    quota = ranked.select("source", (F.col("base") + F.floor(F.col("short") / F.col("m")) + (F.col("k") <= F.col("short") % F.col("m")).cast("long")).alias("quota"))
+    ranked = base.withColumn("k", F.row_number().over(one)).withColumn("m", F.count("*").over(every)).withColumn("off", _QUOTA - F.sum("base").over(every))
+    turns = F.floor(F.abs("off") / F.col("m")) + (F.col("k") <= F.abs("off") % F.col("m")).cast("long")
+    quota = ranked.select("source", F.greatest(F.lit(1), F.col("base") + F.signum("off").cast("long") * turns).alias("quota"))
     placed = docs.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")).cast("long"))
     kept = placed.join(quota, "source").where("place <= quota")
     # the longest of all is kept: every source has a place
