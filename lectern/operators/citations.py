@@ -40,11 +40,11 @@ def two_tier(multiplicity: DataFrame) -> DataFrame:
     return multiplicity.withColumn("tier", F.when(strong, 0).otherwise(1)).withColumn("score", score)
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85, cut: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(node, rank): PageRank with uniform teleport, parallel edges collapsed, self loops dropped, isolated nodes kept.
 
     What dangling nodes hold is spread over all nodes: as that is the same for each, its sum goes through the driver
-    once a round as one number. Ranks are written to the checkpoint folder every ``cut`` rounds.
+    once a round as one number. A round reads the ranks twice, so each is written to the checkpoint folder.
     """
     nodes = nodes.select("node").distinct()
     e = edges.select("src", "dst").where("src <> dst").distinct()
@@ -52,14 +52,13 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: floa
     moves = checkpointed(e.join(degree, "src").select(F.col("src").alias("node"), "dst", (F.lit(1.0) / F.col("out")).alias("share")))
     ends = nodes.join(degree.select(F.col("src").alias("node")), "node", "left").join(degree.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("out").isNull().alias("dangles"))
     state = checkpointed(ends.dropDuplicates(["node"]))
-    n = state.count()
-    now = state.withColumn("rank", F.lit(1.0 / max(1, n)))
-    for k in range(1, rounds + 1):
-        lost = now.where("dangles").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+    n = state.count() or 1
+    now = state.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(rounds):
+        lost = now.where("dangles").agg(F.sum("rank")).first()[0] or 0.0
         got = now.select("node", "rank").join(moves, "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        now = state.join(got, "node", "left").join(F.broadcast(lost)).select("node", "dangles", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % cut == 0 or k == rounds:
-            now = checkpointed(now)
+        mixed = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))
+        now = checkpointed(state.join(got, "node", "left").select("node", "dangles", mixed.alias("rank")))
     return now.select("node", "rank")
 
 
