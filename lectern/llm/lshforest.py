@@ -6,8 +6,10 @@ a class's neighbours there share the longest prefixes with it. A region is a run
 ``LEVELS[0]`` values. In a small region all its members become candidates of one another. A larger region is looked at
 deeper, level by level, until its parts are small; on every level that leaves it large, its members are compared with
 the region's hub, the member that stands in the fullest leaves over all orders, and with their next neighbour.
-Hubs keep a large group of copies of one text linked with a number of candidates that grows with its size, not with
-its square.
+Hubs link most of a large group of copies of one text with a number of candidates that grows with its size, not with
+its square. What they leave open is made up in full: where the members of a large region of ``LEVELS[0]`` values are
+still in several components, all its pairs across components are compared, signatures first, in cells of a bounded
+size. So two classes that share such a prefix in any order are compared, or are in one component without.
 
 Candidates whose signatures agree too little are left out (over four standard deviations under the threshold), the
 others are confirmed or refused on their full sets. Links make components by star rounds in Spark.
@@ -38,6 +40,8 @@ LEVELS = (3, 5, 8)
 SMALL = 5
 #: Rows of one region that a task keeps while it reads on.
 MOST_HELD = 200_000
+#: Members on either side of a cell, the part of a large region that is compared at a time.
+CELL = 512
 _WIDTH = 4 * DEPTH
 _RANDOM = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, (2, TREES * DEPTH), dtype=np.uint64)
 _TIMES, _PLUS = _RANDOM[0] * np.uint64(2) + np.uint64(1), _RANDOM[1]
@@ -86,7 +90,7 @@ def _common(keys: np.ndarray, w: int) -> np.ndarray:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From classes in sorted order: (region null, a, b) for candidates; (region, a, leaf size) for members of large regions."""
+    """From classes in sorted order: (region, level null, a, b) for candidates; (region, level, a, leaf size) for members of large regions."""
     held_keys, held_ids = np.zeros((0, 1 + _WIDTH), np.uint8), np.zeros(0, np.int64)
     opens = True
 
@@ -95,7 +99,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = np.concatenate([[0], _common(keys, 1), [0]]) if n else np.zeros(2, int)
         leaf = np.ones(n)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        members: list[tuple[np.ndarray, np.ndarray]] = []
+        members: list[tuple[np.ndarray, np.ndarray, int]] = []
         live = np.ones(n, bool)  # in a region that is large on all levels above
         for level in LEVELS:
             edge = np.flatnonzero(shared[:n] < level)
@@ -105,7 +109,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(edge):
                 cut[0] |= opens
                 cut[-1] |= closes
-            large = ((size > SMALL) | (cut & (size > 1)))[run] & live
+            large = ((size > SMALL) | cut)[run] & live
             small = ((size > 1) & (size <= SMALL))[run] & live
             if level == LEVELS[-1]:
                 leaf = size[run].astype(float)
@@ -121,7 +125,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for c in range(prefix.shape[1]):
                     region = (region ^ prefix[:, c]) * np.uint64(0x9E3779B97F4A7C15)
                     region ^= region >> np.uint64(29)
-                members.append((mix64(region).astype(np.int64), i))
+                members.append((mix64(region).astype(np.int64), i, level))
             live = large
         a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1)) if pairs else (np.zeros(0, np.int64),) * 2
         low, high = np.minimum(a, b), np.maximum(a, b)
@@ -129,10 +133,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = np.unique(np.stack([low, high]), axis=1)
         region = np.concatenate([m[0] for m in members]) if members else np.zeros(0, np.int64)
         who = np.concatenate([m[1] for m in members]) if members else np.zeros(0, np.int64)
-        none = pa.nulls(len(low), pa.int64())
+        level = np.concatenate([np.full(len(m[1]), m[2], np.int32) for m in members]) if members else np.zeros(0, np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([none, pa.array(region)]), pa.array(np.concatenate([low, ids[who]])), pa.array(np.concatenate([high, leaf[who].astype(np.int64)]))],
-            ["region", "a", "b"],
+            [pa.concat_arrays([pa.nulls(len(low), pa.int64()), pa.array(region)]), pa.concat_arrays([pa.nulls(len(low), pa.int32()), pa.array(level)]), pa.array(np.concatenate([low, ids[who]])), pa.array(np.concatenate([high, leaf[who].astype(np.int64)]))],
+            ["region", "level", "a", "b"],
         )
 
     for f in batches:
@@ -196,34 +200,115 @@ def classes(signed: DataFrame) -> DataFrame:
     return got.select("node", F.col("m.doc_id").alias("doc_id"), F.col("m.signature").alias("signature"))
 
 
-def candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a < b of nodes that stand near in some order and whose signatures agree well enough."""
+def _least(percent: int) -> float:
+    """The share of signature values in which a pair has to agree."""
+    share = percent / 100
+    return share - 4 * (share * (1 - share) / (TREES * DEPTH)) ** 0.5
+
+
+def regions(nodes: DataFrame) -> DataFrame:
+    """What :func:`_neighbours` finds: candidates, and members of large regions."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     place = F.expr(f"concat(unhex(lpad(hex(tree), 2, '0')), substring(signature, 1 + {_WIDTH} * tree, {_WIDTH}))")
     placed = nodes.select(F.col("node").alias("id"), "signature", tree.alias("tree")).select("id", place.alias("place"))
     ordered = placed.repartitionByRange(n, "place", "id").sortWithinPartitions("place", "id")
-    near = checkpointed(ordered.mapInArrow(_neighbours, "region long, a long, b long"))
+    return checkpointed(ordered.mapInArrow(_neighbours, "region long, level int, a long, b long"))
+
 
+def candidates(nodes: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a < b of nodes that stand near in some order and whose signatures agree well enough."""
     members = near.where("region IS NOT NULL").select("region", F.col("a").alias("id"), F.col("b").alias("leaf"))
     weight = members.groupBy("id").agg(F.sum(F.log("leaf")).alias("weight"))
     best = members.select("region", "id").join(weight, "id").groupBy("region").agg(F.max(F.struct("weight", "id")).alias("m"))
     stars = members.select("region", "id").join(best.select("region", F.col("m.id").alias("hub")), "region").where("id <> hub")
     pairs = near.where("region IS NULL").select("a", "b").union(stars.select(F.least("id", "hub"), F.greatest("id", "hub"))).distinct()
 
-    share = percent / 100
-    least = share - 4 * (share * (1 - share) / (TREES * DEPTH)) ** 0.5
     pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
     pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
-    return pairs.mapInArrow(_agreeing(least), "a long, b long")
+    return pairs.mapInArrow(_agreeing(_least(percent)), "a long, b long")
+
+
+def _meetings(cell: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of the others: the cell's members of other components whose signatures agree well enough, the best first."""
+    ids, kin, other, outside = (cell.column(c).to_numpy() for c in ("id", "component", "other", "outside"))
+    signature = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
+    here = np.flatnonzero(~other)
+    for o in np.flatnonzero(other):
+        # two members outside the main component meet both ways round; one is enough
+        at = here[(kin[here] != kin[o]) & (~outside[here] | (ids[here] > ids[o]))]
+        agree = (signature[at] == signature[o]).mean(1)
+        order = np.argsort(-agree, kind="stable")
+        yield o, at[order[agree[order] >= least]]
+
+
+def _across(least: float):
+    def keep(cell: pa.Table) -> pa.Table:
+        meets = np.zeros(cell.num_rows, bool)
+        for o, at in _meetings(cell, least):
+            meets[at] = True
+            meets[o] |= len(at) > 0
+        return cell.filter(pa.array(meets))
+
+    return keep
+
+
+def _linking(least: float, percent: int):
+    def link(cell: pa.Table) -> pa.Table:
+        ids, kin = cell.column("id").to_numpy(), cell.column("component").to_numpy()
+        sets = list(shingle_sets(cell.column("text").combine_chunks()))
+        found: list[tuple[int, int]] = []
+        for o, at in _meetings(cell, least):
+            met = set()
+            for m in at:
+                if kin[m] not in met:
+                    both = len(np.intersect1d(sets[o], sets[m], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[o]) + len(sets[m]) - both):
+                        met.add(kin[m])
+                        found.append((kin[o], kin[m]))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return link
+
+
+def remainder(docs: DataFrame, nodes: DataFrame, near: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between components that have members in one large region, from comparing all of these across components.
+
+    A region's members are dealt into blocks, those outside its largest component also into blocks of others; each
+    cell holds a block of either kind, so no task needs a whole region. Pairs live inside a cell only: signatures
+    decide which rows' texts are fetched, full sets confirm, and one link is given for each member and component.
+    """
+    members = near.where(F.col("level") == LEVELS[0]).select("region", F.col("a").alias("id")).distinct()
+    members = members.join(grouped.select(F.col("node").alias("id"), "component"), "id")
+    sizes = members.groupBy("region", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("region").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / CELL).cast("long")
+    sizes = sizes.select("region", F.col("m.component").alias("main"), blocks(F.col("n")).alias("wide"), blocks(F.col("n") - F.col("m.n")).alias("high"))
+    open_ = members.join(sizes, "region").withColumn("outside", F.col("component") != F.col("main"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id"), n)
+    held = open_.withColumn("i", mine(F.col("wide"))).withColumn("j", every(F.col("high"))).withColumn("other", F.lit(False))
+    others = open_.where("outside").withColumn("j", mine(F.col("high"))).withColumn("i", every(F.col("wide"))).withColumn("other", F.lit(True))
+    cell, columns = ["region", "i", "j"], ["region", "i", "j", "id", "component", "outside", "other", "signature"]
+    cells = held.unionByName(others).join(nodes.select(F.col("node").alias("id"), "signature"), "id").select(*columns)
+    schema = "region long, i long, j long, id long, component long, outside boolean, other boolean, signature binary"
+    cells = checkpointed(cells.groupBy(*cell).applyInArrow(_across(_least(percent)), schema))
+    texts = _texts(docs, nodes, cells.select(F.col("id").alias("node")).distinct())
+    cells = cells.join(texts.select(F.col("node").alias("id"), "text"), "id")
+    return cells.groupBy(*cell).applyInArrow(_linking(_least(percent), percent), "a long, b long")
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, text): a text for each node of ``ids``."""
+    wanted = nodes.select("node", "doc_id").join(ids, "node").select(F.col("doc_id").alias("__id")).distinct()
+    texts = docs.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    return checkpointed(texts.mapInArrow(_noded, "node long, text string").dropDuplicates(["node"]).join(ids, "node", "left_semi"))
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.select("node", "doc_id").join(ids, "node").select(F.col("doc_id").alias("__id")).distinct()
-    texts = docs.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    texts = checkpointed(texts.mapInArrow(_noded, "node long, text string").dropDuplicates(["node"]).join(ids, "node", "left_semi"))
+    texts = _texts(docs, nodes, ids)
     pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return pairs.mapInArrow(_confirmed(percent), "a long, b long")
@@ -232,9 +317,13 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
 def components(docs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """(node, doc_id, component): the classes of equal sets with a number for what they are linked to."""
     nodes = checkpointed(classes(signed))
-    pairs = checkpointed(candidates(nodes, percent))
+    near = regions(nodes)
+    pairs = checkpointed(candidates(nodes, near, percent))
     found = connected_components(confirmed(docs, nodes, pairs, percent))
-    return nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    grouped = checkpointed(nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
+    links = remainder(docs, nodes, near, grouped, percent)
+    more = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return grouped.join(more, "component", "left").select("node", "doc_id", F.coalesce("to", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

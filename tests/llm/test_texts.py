@@ -93,6 +93,33 @@ def test_large_group_of_near_copies(spark):
     assert sorted(map(tuple, got), key=repr) == brute_components(rows, 85)
 
 
+def test_copies_of_copies_in_a_large_group(spark):
+    """Pairs linked to one another but to no hub nor crowd: what hubs leave open must be compared."""
+    rng = random.Random(5)
+    base = words(rng, 1000).split(" ")
+    spots = range(5, 995, 10)  # an edit there changes five shingles, none in common with another's
+
+    def edited(i, at):
+        w = list(base)
+        for x in at:
+            w[x] = f"edit{i}x{x}"
+        return w
+
+    crowd = [(1000 + i, " ".join(edited(1000 + i, rng.sample(spots, 1))), "en", "a") for i in range(300)]
+    rows = []
+    for i in range(60):
+        at = rng.sample(spots, 25)  # nine edits in common, and eight of each one's own
+        first, second = edited(i, at[:17]), edited(i, at[:9])
+        for x in at[17:]:
+            second[x] = f"own{i}x{x}"
+        rows += [(10 + 2 * i, " ".join(first), "en", "a"), (11 + 2 * i, " ".join(second), "en", "a")]
+    expected = brute_components([*rows, *crowd[:5]], 85)
+    assert {c for _, _, c, _ in expected} == {1000, *range(10, 130, 2)}  # pairs by themselves, and the crowd
+    got = lshforest.near_duplicates(table(spark, [*rows, *crowd]), 85).collect()
+    assert sorted((tuple(r) for r in got if r.doc_id < 1005), key=repr) == expected
+    assert {r.component_id for r in got if r.doc_id >= 1000} == {1000}
+
+
 def test_deduplicate_keeps_one_of_each(spark, edges):
     docs = table(spark, edges)
     out = lshforest.deduplicate(docs, 80)
