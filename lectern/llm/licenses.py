@@ -2,7 +2,8 @@
 
 Every text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` before white space. A sentence is
 normalised (A-Z lower-cased, all but a-z and 0-9 to single spaces, trimmed) and looked up among the known
-sentences. What is found, in text order, is the text's identifier sequence; ordered rules then take their
+sentences. A sentence may also run over line ends, as in hard-wrapped notices; comment leaders there go with all that
+is not a letter or digit. The SQL knows sentences of one line only. What is found, in text order, is the text's identifier sequence; ordered rules then take their
 identifiers out of it, each rule what earlier ones left.
 
 All of it is row-local: no shuffle, no join, nothing that grows with the data is broadcast.
@@ -51,6 +52,11 @@ SENTENCES: dict[str, str] = {
     "all rights reserved": "reserved",
 }
 
+# Published wordings that hold several known sentences in one, with their identifiers in order.
+WORDINGS: dict[str, tuple[str, ...]] = {
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": ("apache_ref", "apache_use"),
+}
+
 # Fixed values: (licence, class, identifiers that follow one another); earlier rules come first.
 RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("Apache-2.0", "permissive", ("apache_ref", "apache_use", "apache_copy", "apache_warranty", "apache_see")),
@@ -81,13 +87,20 @@ CLASSES = ("restricted", "copyleft", "permissive")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STOP = r"[.!?]+[\x09-\x0D\x20]+|[\x0A-\x0D]+"
+_END, _LINE = r"[.!?]+[\x09-\x0D\x20]+", r"[\x0A-\x0D]+"
 _OTHER = r"[^a-z0-9]+"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences in text order, empty ones left out; null text: none."""
-    cut = F.split(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _STOP, "\n"), "\n")
-    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(s, _OTHER, " "))), lambda s: s != "")
+def runs_of_lines(text: Column, known: Sequence[str]) -> Column:
+    """The known sentences in text order, each a whole run of pieces between stops: one, or several that line ends part."""
+    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    # stops become S and line ends L, as no upper-case letter is left
+    marked = F.regexp_replace(F.regexp_replace(low, _END, "S"), _LINE, "L")
+    flat = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9SL]+", " "), "[ L]*S[ SL]*", "S")
+    flat = F.regexp_replace(flat, " *L[ L]*", "L")
+    any_of = "|".join(k.replace(" ", "[ L]") for k in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(F.trim(flat), F.lit(f"(?<![^SL])(?:{any_of})(?![^SL])"), F.lit(0))
+    return F.transform(found, lambda s: F.translate(s, "L", " "))
 
 
 def scan(
@@ -95,6 +108,7 @@ def scan(
     text: str = "text",
     known: Mapping[str, str] = SENTENCES,
     rules: Sequence[tuple[str, str, tuple[str, ...]]] = RULES,
+    wordings: Mapping[str, tuple[str, ...]] = WORDINGS,
 ) -> DataFrame:
     """``docs`` with n_known long, sentence_ids, licenses and verdict string, all rows kept.
 
@@ -104,8 +118,9 @@ def scan(
     ``none`` where none was known. Null and empty texts: 0, empty, empty, ``none``. Repeated rows stay repeated.
     Columns of ``docs`` with one of the four names are replaced; other columns pass unread.
     """
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    ids = F.filter(F.transform(sentences(F.col(text)), lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    all_known = {k: (v,) for k, v in known.items()} | dict(wordings)
+    table = F.create_map(*[x for k, v in all_known.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
+    ids = F.flatten(F.transform(runs_of_lines(F.col(text), list(all_known)), lambda s: F.try_element_at(table, s)))
     # every identifier stands between bars of its own: |a||b||c|
     left = F.concat(F.lit("|"), F.array_join(F.transform("__ids", lambda x: F.concat(x, F.lit("|"))), "|"))
     runs = F.array(*[F.struct(F.lit("".join(f"|{x}|" for x in seq)).alias("run"), F.lit(name).alias("name"), F.lit(kind).alias("kind")) for name, kind, seq in rules])

@@ -36,6 +36,39 @@ def test_license_sequences(spark, edges):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+def test_wrapped_notices(spark):
+    """Notices as published, wrapped and in comments."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    apache = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    leader = lambda text, mark: "\n".join(mark + line for line in text.split("\n"))
+    texts = [gpl, apache, leader(gpl, " * "), leader(apache, "# "), "not " + gpl[:60], "MIT\nLicense", "MIT.\nLicense"]
+    rows = [(i, x, None, None) for i, x in enumerate(texts)]
+    got = {r.doc_id: (r.licenses, r.sentence_ids) for r in licenses.scan(table(spark, rows)).collect()}
+    assert got[0] == got[2] == ("GPL-3.0-or-later", "gpl3_grant|gpl_warranty|gpl_see")
+    assert got[1] == got[3] == ("Apache-2.0", "apache_ref|apache_use|apache_copy|apache_warranty|apache_see")
+    assert got[4] == ("", "") and got[5] == ("MIT", "mit_title") and got[6] == ("", "")
+
+
 def test_water_filling():
     got = mixing.targets({"a": 10, "b": 100, None: 1000}, {"a": 10.0, "b": 1.0, None: 1.0}, 1110, 3)
     assert got["a"] == 30 and abs(got["b"] - 300) < 1e-9 and abs(got[None] - 780) < 1e-9
