@@ -6,7 +6,8 @@ fewest tokens. Inside a bucket documents are ranked by a hash, and each batch ho
 at the bucket's length.
 
 Bins: lengths up to 512 are exact; longer ones are rounded up to 9 significant binary digits, so there are fewer
-than 256 bins for each doubling of the length and under 16,000 in all, whatever the table's size.
+than 256 bins for each doubling of the length and under 16,000 in all, whatever the table's size. The boundaries are
+those of least padding over rounded lengths; a bucket's own length is the largest real one in it.
 """
 
 from __future__ import annotations
@@ -79,9 +80,12 @@ def pack(docs: DataFrame, length: Column, buckets: int = 8, budget: int = 16_384
     """
     sized = docs.select(F.col(key), length.cast("long").alias("n_tokens"))
     sized = sized.withColumn("__bin", F.when(F.col("n_tokens") > 0, binned(F.col("n_tokens"))).otherwise(F.lit(0).cast("long")))
-    histogram = sorted((r[0], r[1]) for r in sized.groupBy("__bin").count().collect())
-    tops = boundaries([b for b, _ in histogram], [c for _, c in histogram], buckets) or [0]
-    counts = [sum(c for b, c in histogram if b <= t) for t in tops]
+    bins = sized.groupBy("__bin").agg(F.count("*"), F.coalesce(F.max("n_tokens"), F.lit(0)))
+    histogram = sorted(tuple(r) for r in bins.collect())
+    tops = boundaries([b for b, _, _ in histogram], [c for _, c, _ in histogram], buckets) or [0]
+    counts = [sum(c for b, c, _ in histogram if b <= t) for t in tops]
+    longest = {b: n for b, _, n in histogram}
+    tokens = [max(0, longest.get(t, 0)) for t in tops]
     bucket = F.size(F.filter(F.array(*[F.lit(t).cast("long") for t in tops]), lambda t: t < F.col("__bin")))
     placed = sized.withColumn("bucket", bucket).drop("__bin")
     order = [F.col("bucket"), F.xxhash64(key), F.col(key), F.col("n_tokens"), F.col("__salt")]
@@ -89,8 +93,8 @@ def pack(docs: DataFrame, length: Column, buckets: int = 8, budget: int = 16_384
     pick = lambda xs: F.get(F.array(*[F.lit(x).cast("long") for x in xs]), F.col("bucket"))
     inside = F.col("__rank") - pick([0, *counts[:-1]])
     return (
-        ranked.withColumn("bucket_tokens", pick(tops))
-        .withColumn("batch_docs", pick([max(1, budget // max(1, t)) for t in tops]))
+        ranked.withColumn("bucket_tokens", pick(tokens))
+        .withColumn("batch_docs", pick([max(1, budget // max(1, t)) for t in tokens]))
         .withColumn("batch", F.floor(inside / F.col("batch_docs")).cast("long"))
         .withColumn("slot", F.pmod(inside, F.col("batch_docs")))
         .select(key, "n_tokens", "bucket", "bucket_tokens", "batch", "slot", "batch_docs")

@@ -192,3 +192,10 @@ def test_ranks_match_dense_iteration(spark):
     for _ in range(urlgraph.ROUNDS):
         r = 0.15 * v + 0.85 * m @ r
     assert max(abs(got.get(str(i), 0.0) - r[i]) for i in range(9)) < 1e-12
+
+
+def test_bucket_tokens_are_real_lengths(spark):
+    """Above 512 the histogram rounds lengths up, but a bucket is as long as its longest document."""
+    rows = [(i, "x" * n, None, None) for i, n in enumerate([513, 1025, 1025, 3001])]
+    got = packing.pack(table(spark, rows), F.length("text"), buckets=3, budget=2050).collect()
+    assert sorted((r.n_tokens, r.bucket_tokens, r.batch_docs) for r in got) == [(513, 513, 3), (1025, 1025, 2), (1025, 1025, 2), (3001, 3001, 1)]
