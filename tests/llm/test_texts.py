@@ -317,59 +317,171 @@ def test_stirling_numbers_count_seatings():
     assert np.allclose(table_[3, 1:4], [(1 - d) * (2 - d), 3 * (1 - d), 1])
 
 
-def test_tables_follow_their_distribution():
-    rng = np.random.default_rng(1)
-    price = 0.7
-    for c in (3, 200):
-        got = pitman.draw_tables(np.full(20_000, c), np.full(20_000, price), pitman.DISCOUNT, rng)
-        if c == 3:
-            w = np.exp(pitman.stirling(pitman.DISCOUNT, 3)[3, 1:4]) * price ** np.arange(1, 4)
-            assert np.abs(np.bincount(got, minlength=4)[1:] / 20_000 - w / w.sum()).max() < 0.02
-        assert got.min() >= 1 and got.max() <= c
-
-
-def test_scores_and_normalisation(spark, edges):
-    rows = [r for r in edges if r[0] not in (None, 50, 51)] + [(50, " ".join((edges[0][1] + " ") * 3), "en", "a")]
-    docs = table(spark, rows)
+def test_tables_follow_their_distribution(monkeypatch):
+    price, n = 0.7, 20_000
+    got = pitman.draw_tables(np.full(n, 3), np.full(n, price), pitman.DISCOUNT, pitman.keyed(np.arange(n)))
+    w = np.exp(pitman.stirling(pitman.DISCOUNT, 3)[3, 1:4]) * price ** np.arange(1, 4)
+    assert np.abs(np.bincount(got, minlength=4)[1:] / n - w / w.sum()).max() < 0.02
+    # the limit used for many customers against the numbers themselves
+    log_s = pitman.stirling(pitman.DISCOUNT, 600)[600, 1:]
+    t = np.arange(1, 601)
+    for price in (1e-4, 0.1, 1.0, 8.0, 40.0, 300.0, 5_000.0):
+        w = np.exp((x := log_s + t * math.log(price)) - x.max())
+        mean = (w * t).sum() / w.sum()
+        spread = math.sqrt((w * (t - mean) ** 2).sum() / w.sum())
+        got = pitman.draw_tables(np.full(n, 600), np.full(n, price), pitman.DISCOUNT, pitman.keyed(np.arange(n), 3))
+        assert abs(got.mean() - mean) < 0.02 * mean + 0.02 and abs(got.std() - spread) < 0.05 * spread + 0.02
+
+
+def test_gamma_variates():
+    for shape in (1.3, 6.25, 400.0):
+        x = pitman.gamma(np.full(50_000, shape), pitman.keyed(np.arange(50_000), 9))
+        assert x.mean() == pytest.approx(shape, rel=0.02) and x.var() == pytest.approx(shape, rel=0.05)
+
+
+class PlainModel:
+    """The same chain over plain dictionaries, one draw at a time; common: words that are sampled across all pairs."""
+
+    D, S, RD, RS = pitman.DISCOUNT, pitman.STRENGTH, pitman.ROOT_DISCOUNT, pitman.ROOT_STRENGTH
+
+    def __init__(self, texts, share):
+        self.end, self.start = int(pitman._END), int(pitman._START)
+        tokens = [self.tokens(t) for t in texts]
+        self.count = Counter(w for ws in tokens for w in ws)
+        self.n, self.v = sum(self.count.values()), len(self.count)
+        self.pairs = Counter(p for ws in tokens for p in zip([self.start, *ws], ws, strict=False))
+        self.followed = Counter()
+        for (v, _), c in self.pairs.items():
+            self.followed[v] += c
+        self.common = {w for w, c in self.count.items() if c * share >= self.n} | {self.start}
+        self.samples = []
+        self.sample()
+
+    def tokens(self, text):
+        data, offsets = text_arrays.utf8(pa.array([text]))
+        return [*map(int, text_arrays.word_hashes(data, offsets)[0]), self.end]
+
+    def draw(self, c, price, d, *key):
+        return int(pitman.draw_tables(np.array([c]), np.array([price]), d, pitman.keyed(*map(np.uint64, key)))[0])
+
+    def gamma(self, shape, *key):
+        return float(pitman.gamma(np.array([shape]), pitman.keyed(*map(np.uint64, key)))[0])
+
+    def parent(self, c, t, tables, customers):
+        return (c - self.RD * t + (self.RS + self.RD * tables) / (self.v + 1)) / (self.RS + customers)
+
+    def sample(self):
+        base, by_dish, by_context = 1 / (self.v + 1), {}, {}
+        for v, w in self.pairs:
+            by_dish.setdefault(w, []).append(v)
+            by_context.setdefault(v, []).append(w)
+        x = {v: self.S / self.D + self.followed[v] ** self.D for v in self.common}
+        p = {w: (self.count[w] + 0.1) / (self.n + 0.1 * (self.v + 1)) for w in self.common}
+        rx, tables = self.RS / self.RD + self.v, self.v
+        customers = sum(self.count[w] ** self.D for w in self.common) + max(0, self.v - len(self.common))
+        for r in range(pitman.BURN + pitman.SAMPLES):
+            t = {(v, w): 1 for v, w in self.pairs}
+            for (v, w), c in self.pairs.items():
+                if v in self.common and w in self.common:
+                    t[v, w] = self.draw(c, self.D * x[v] * p[w], self.D, v, w, r)
+            for v in self.followed.keys() - self.common:
+                for j in range(pitman.INNER):
+                    own = self.gamma(self.S / self.D + sum(t[v, w] for w in by_context[v]), v, 21, r, j)
+                    for w in by_context[v]:
+                        if w in self.common:
+                            t[v, w] = self.draw(self.pairs[v, w], self.D * own * p[w], self.D, v, w, r, j)
+            low = {}
+            for w in self.count.keys() - self.common:
+                low[w] = 1
+                for j in range(pitman.INNER):
+                    q = self.parent(sum(t[v, w] for v in by_dish[w]), low[w], tables, customers)
+                    for v in by_dish[w]:
+                        if v in self.common:
+                            t[v, w] = self.draw(self.pairs[v, w], self.D * x[v] * q, self.D, v, w, r, j)
+                    low[w] = self.draw(sum(t[v, w] for v in by_dish[w]), self.RD * rx * base, self.RD, w, 22, r, j)
+            at = {w: sum(t[v, w] for v in by_dish[w]) for w in self.count}
+            for w in self.common & self.count.keys():
+                low[w] = self.draw(at[w], self.RD * rx * base, self.RD, w, 11, r)
+            tables, customers = sum(low.values()), sum(at.values())
+            served = {v: sum(t[v, w] for w in by_context.get(v, [])) for v in self.followed.keys() | self.common}
+            x = {v: self.gamma(self.S / self.D + served[v], v, 12, r) for v in self.common}
+            rx = self.gamma(self.RS / self.RD + tables, 13, r)
+            root = {w: self.parent(at[w], low[w], tables, customers) for w in self.count}
+            p = {w: root.get(w, 0.0) for w in self.common}
+            if r >= pitman.BURN:
+                self.samples.append((t, served, root, self.parent(0, 0, tables, customers)))
+
+    def probability(self, v, w):
+        out = 0.0
+        for t, served, root, rest in self.samples:
+            spare = self.S + self.D * served.get(v, 0)
+            out += (self.pairs[v, w] - self.D * t.get((v, w), 0) + spare * root.get(w, rest)) / (self.S + self.followed[v])
+        return out / len(self.samples)
+
+    def score(self, text):
+        ws = self.tokens(text)
+        return sum(math.log10(self.probability(v, w)) for v, w in zip([self.start, *ws], ws, strict=False))
+
+
+def chains(seed, n, size=60):
+    """Texts whose words depend on the word before."""
+    rng = random.Random(seed)
+    vocabulary = words(rng, size).split(" ")
+    follows = {w: rng.sample(vocabulary, 3) for w in vocabulary}
+
+    def chain(k):
+        out = [rng.choice(vocabulary)]
+        while len(out) < k:
+            out.append(rng.choice(follows[out[-1]]))
+        return " ".join(out)
+
+    return [(i, chain(rng.randint(1, 60)), "en", "a") for i in range(n)]
+
+
+@pytest.mark.parametrize("share", [1 << 18, 60, 1])
+def test_scores_equal_a_plain_sampler(spark, edges, monkeypatch, share):
+    """Whichever words are common; with parts of any size and in any order."""
+    monkeypatch.setattr(pitman, "SHARE", share)
+    monkeypatch.setattr(pitman, "HOT", 200)
+    rows = [r for r in edges if r[0] != 50] + [(100 + i, *rest) for i, *rest in chains(7, 60)] + [(300, "the " * 2000, None, None), (301, None, None, None)]
     learns, held = F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 == 0
-    got = {r.doc_id: r for r in pitman.score(docs, learns, held).collect()}
-    assert len(got) == len(rows)
-    tokens = {i: [*low_words(t), None] for i, t, *_ in rows}
-    c = Counter(w for i in tokens if i % 5 for w in tokens[i])
+    plain = PlainModel([t for i, t, *_ in rows if i is not None and i % 5], share)
+    assert sum(plain.probability(plain.start, w) for w in [*plain.count, 1]) == pytest.approx(1)
+    docs = table(spark, rows)
+    ids = {r[0] for r in rows}
+    got = {}
+    for parts, blocks, buckets in ((1, 4096, 1 << 20), (5, 7, 300)):
+        monkeypatch.setattr(pitman, "BLOCK_TEXTS", blocks)
+        monkeypatch.setattr(pitman, "BUCKET_TOKENS", buckets)
+        out = pitman.score(docs.repartition(parts), learns, held).collect()
+        assert len(out) == len(rows)
+        got[parts] = {r.doc_id: r for r in out if r.doc_id is not None}
+        assert got[parts].keys() == ids - {None}
+    for i, text, *_ in rows:
+        if i is not None:
+            assert got[1][i].score == pytest.approx(plain.score(text), rel=1e-9)
+            assert got[5][i].score == pytest.approx(got[1][i].score, rel=1e-9)
+    v = next(w for w, c in plain.followed.most_common() if w != plain.start)
+    assert sum(plain.probability(v, w) for w in [*plain.count, 1]) == pytest.approx(1)
+
+
+def test_base_figures(spark, edges):
+    rows = [r for r in edges if r[0] not in (None, 50)] + [(50, " ".join((edges[0][1] + " ") * 3), "en", "a")]
+    got = {r.doc_id: r for r in pitman.score(table(spark, rows), F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 == 0).collect()}
+    tokens = [(i, [*low_words(t), None]) for i, t, *_ in rows]
+    c = Counter(w for i, ws in tokens if i % 5 for w in ws)
     n, v = sum(c.values()), len(c)
-    for i, ws in tokens.items():
+    for i, ws in tokens:
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(c[w] > 0 for w in ws), n, i % 5 == 0)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
         assert r.score < 0
-    # probabilities of all one-word texts and the unseen one, times that of the end, sum to the same as the end alone
-    known = [w for w in c if w is not None]
-    probes = table(spark, [(10_000 + 5 * k, w, "en", "a") for k, w in enumerate(known)] + [(5, "neverseenword", "en", "a"), (0, "", "en", "a")])
-    both = docs.where("doc_id % 5 <> 0").unionByName(probes)
-    out = {r.doc_id: r for r in pitman.score(both, learns, held).collect()}
-    assert out[0].n_tokens == 1 and len(out) == both.select("doc_id").distinct().count()
-    assert all(0 > r.score > -100 for r in out.values() if r.held_out)
-
-
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(3)
-    words_ = np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64))
-    key = np.unique((rng.integers(0, 40, 300) << pitman._BITS) | rng.integers(0, 5, 300))
-    owner, kind = key >> pitman._BITS, key & (pitman.CLASSES - 1)
-    customers = rng.integers(1, 200, len(key))
-    words_, owner = words_[np.unique(owner)], np.unique(owner, return_inverse=True)[1]
-    s = pitman.seat(words_, owner, kind, customers, 1, 7)
-    by_class = lambda x: np.bincount(kind, x, pitman.CLASSES)
-    t = pitman.Totals(int(customers.sum()), len(words_), by_class(customers), np.stack([by_class(x) for x in s.tables]), s.root_customers.sum(1), s.root_tables.sum(1))
-    root = t.root(s.root_customers, s.root_tables)
-    assert np.allclose(root.sum(1) + t.unseen(), 1)
-    for k in range(6):
-        c, tab = np.zeros(len(words_)), np.zeros((pitman.SAMPLES, len(words_)))
-        at = kind == k
-        c[owner[at]], tab[:, owner[at]] = customers[at], s.tables[:, at]
-        p = t.probability(np.full(len(words_), k), c, tab, root)
-        rest = t.probability(np.array([k]), np.zeros(1), np.zeros((pitman.SAMPLES, 1)), t.unseen()[:, None])
-        assert p.sum() + rest[0] == pytest.approx(1)
+
+
+def test_contexts_tell(spark):
+    rows = chains(8, 120)
+    out = pitman.score(table(spark, rows), F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 == 0).collect()
+    assert np.mean([r.score > r.base_score for r in out if r.held_out]) > 0.9
 
 
 def test_language_model_without_training_rows(spark):
@@ -377,28 +489,3 @@ def test_language_model_without_training_rows(spark):
     out = pitman.score(docs, F.lit(False), F.lit(True)).collect()
     assert len(out) == 3 and all(r.base_score == 0 and r.score == pytest.approx(0) for r in out)
     assert pitman.score(table(spark, []), F.lit(True), F.lit(False)).count() == 0
-
-
-def test_buckets_and_blocks_change_little(spark, monkeypatch):
-    rng = random.Random(7)
-    vocabulary = words(rng, 60).split(" ")
-    follows = {w: rng.sample(vocabulary, 3) for w in vocabulary}  # what comes before tells what comes next
-
-    def chain(n):
-        out = [rng.choice(vocabulary)]
-        while len(out) < n:
-            out.append(rng.choice(follows[out[-1]]))
-        return " ".join(out)
-
-    rows = [(i, chain(rng.randint(5, 60)), "en", "a") for i in range(120)]
-    docs = table(spark, rows)
-    learns, held = F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 == 0
-    one = {r.doc_id: r for r in pitman.score(docs, learns, held).collect()}
-    monkeypatch.setattr(pitman, "DOCS_PER_BUCKET", 15)
-    many = {r.doc_id: r for r in pitman.score(docs.repartition(5), learns, held).collect()}
-    again = {r.doc_id: r for r in pitman.score(docs.repartition(3), learns, held).collect()}
-    for i in one:
-        assert many[i].base_score == pytest.approx(one[i].base_score) and many[i].n_known == one[i].n_known
-        assert many[i].score == pytest.approx(one[i].score, rel=0.05)
-        assert many[i].score == pytest.approx(again[i].score, rel=1e-9)
-    assert np.mean([one[i].score > one[i].base_score for i in one if i % 5 == 0]) > 0.9
