@@ -3,14 +3,18 @@
 Each document's set holds its distinct runs of five words. Texts with equal sets become one class first. Each class
 has ``TREES`` signature orders of ``DEPTH`` MinHash values. All classes are sorted in every order (one range sort);
 a class's neighbours there share the longest prefixes with it. A region is a run of classes that share a prefix of
-``LEVELS[0]`` values. In a small region all its members become candidates of one another. A larger region is looked at
-deeper, level by level, until its parts are small; on every level that leaves it large, its members are compared with
-the region's hub, the member that stands in the fullest leaves over all orders, and with their next neighbour.
+``LEAST`` values. In a small region all its members become candidates of one another. A larger region is looked at
+deeper, one value more at a time, until its parts are small; as long as they aren't, their members become candidates of
+their next neighbours. Members of a region that is large at ``LEAST`` or at ``DEPTH`` values also become candidates of
+its hub, the member that stands in the fullest leaves over all orders.
 Hubs link most of a large group of copies of one text with a number of candidates that grows with its size, not with
-its square. What they leave open is made up in full: where the members of a large region of ``LEVELS[0]`` values are
+its square. What they leave open is made up in full: where the members of a large region of ``LEAST`` values are
 still in several components, all its pairs across components are compared, signatures first, in cells of a bounded
 size. So two classes that share such a prefix in any order are compared, or are in one component without.
 
+A hub may have any number of candidates: its signature travels with its region, its text goes once to each of up to
+``SALTS`` shares of them, and joins on regions leave both sides to exchanges that Spark splits where they are skewed.
+
 Candidates whose signatures agree too little are left out (over four standard deviations under the threshold), the
 others are confirmed or refused on their full sets. Links make components by star rounds in Spark.
 
@@ -25,21 +29,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.names import free, quoted
 from lectern.llm.text_arrays import chunks, mix64, shingles, utf8, word_hashes
 from lectern.operators.graph import connected_components
 from lectern.session import checkpointed
 
 WORDS = 5
-TREES, DEPTH = 16, 8
-LEVELS = (3, 5, 8)
+TREES, LEAST, DEPTH = 16, 3, 8
 #: Members of a region that are all compared with one another.
 SMALL = 5
 #: Rows of one region that a task keeps while it reads on.
 MOST_HELD = 200_000
+#: Shares that a class's candidates are dealt into to be confirmed.
+SALTS = 256
 #: Members on either side of a cell, the part of a large region that is compared at a time.
 CELL = 512
 _WIDTH = 4 * DEPTH
@@ -101,7 +107,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         members: list[tuple[np.ndarray, np.ndarray, int]] = []
         live = np.ones(n, bool)  # in a region that is large on all levels above
-        for level in LEVELS:
+        for level in range(LEAST, DEPTH + 1):
             edge = np.flatnonzero(shared[:n] < level)
             run = np.repeat(np.arange(len(edge)), np.diff([*edge, n]))
             size = np.bincount(run, minlength=len(edge))
@@ -111,7 +117,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cut[-1] |= closes
             large = ((size > SMALL) | cut)[run] & live
             small = ((size > 1) & (size <= SMALL))[run] & live
-            if level == LEVELS[-1]:
+            if level == DEPTH:
                 leaf = size[run].astype(float)
             for w in range(1, SMALL):
                 i = np.flatnonzero(small[: n - w] & (run[: n - w] == run[w:])) if n > w else np.zeros(0, int)
@@ -119,7 +125,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.flatnonzero(large[: n - 1] & (run[: n - 1] == run[1:])) if n > 1 else np.zeros(0, int)
             pairs.append((ids[i], ids[i + 1]))
             i = np.flatnonzero(large)
-            if len(i):
+            if len(i) and level in (LEAST, DEPTH):
                 prefix = keys[i, : 1 + 4 * level].astype(np.uint64)
                 region = np.full(len(i), np.uint64(level))
                 for c in range(prefix.shape[1]):
@@ -145,7 +151,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.frombuffer(b"".join(f.column("place").to_pylist()), np.uint8).reshape(f.num_rows, 1 + _WIDTH)
         keys, ids = np.concatenate([held_keys, keys]), np.concatenate([held_ids, f.column("id").to_numpy()])
         # the last region waits for rows that may belong to it; a very large one is cut, its parts meet at the hub
-        change = np.flatnonzero(_common(keys, 1) < LEVELS[0]) if len(ids) > 1 else np.zeros(0, int)
+        change = np.flatnonzero(_common(keys, 1) < LEAST) if len(ids) > 1 else np.zeros(0, int)
         cut = change[-1] + 1 if len(change) else 0
         forced = len(ids) - cut > MOST_HELD
         if forced:
@@ -170,13 +176,18 @@ def _agreeing(least: float):
 
 
 def _confirmed(percent: int):
+    """From rows (a, share, node, text), in each share a's own first: the links of a."""
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, first = None, np.zeros(0, np.uint64)
         for f in batches:
-            a, b = f.column("a").to_pylist(), f.column("b").to_pylist()
-            good = []
-            for p, q in zip(shingle_sets(f.column("text_a")), shingle_sets(f.column("text_b")), strict=True):
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
+            a, b, good = f.column("a").to_pylist(), f.column("node").to_pylist(), []
+            for p, q, own in zip(a, b, shingle_sets(f.column("text")), strict=True):
+                if p == q:
+                    of, first = p, own
+                assert p == of, "a's own text comes first"
+                both = len(np.intersect1d(first, own, assume_unique=True))
+                good.append(p != q and 100 * both >= percent * (len(first) + len(own) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return keep
@@ -216,17 +227,24 @@ def regions(nodes: DataFrame) -> DataFrame:
     return checkpointed(ordered.mapInArrow(_neighbours, "region long, level int, a long, b long"))
 
 
+def _anew(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a key that Spark takes for another one, so that a join deals both its sides out and can split them."""
+    return df.withColumn(key, F.bitwise_not(F.bitwise_not(F.col(key))))
+
+
 def candidates(nodes: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a < b of nodes that stand near in some order and whose signatures agree well enough."""
+    """Pairs (a, b) of nodes that stand near in some order and whose signatures agree well enough; hubs are on the left."""
     members = near.where("region IS NOT NULL").select("region", F.col("a").alias("id"), F.col("b").alias("leaf"))
     weight = members.groupBy("id").agg(F.sum(F.log("leaf")).alias("weight"))
     best = members.select("region", "id").join(weight, "id").groupBy("region").agg(F.max(F.struct("weight", "id")).alias("m"))
-    stars = members.select("region", "id").join(best.select("region", F.col("m.id").alias("hub")), "region").where("id <> hub")
-    pairs = near.where("region IS NULL").select("a", "b").union(stars.select(F.least("id", "hub"), F.greatest("id", "hub"))).distinct()
-
-    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
-    pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
-    return pairs.mapInArrow(_agreeing(_least(percent)), "a long, b long")
+    signed = lambda id_, name: nodes.select(F.col("node").alias(id_), F.col("signature").alias(name))
+    hubs = best.select("region", F.col("m.id").alias("a")).join(signed("a", "sig_a"), "a")
+    stars = members.select("region", F.col("id").alias("b")).join(_anew(hubs, "region"), "region").where("a <> b")
+    stars = stars.dropDuplicates(["b", "a"]).join(signed("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+    pairs = near.where("region IS NULL").select("a", "b").distinct().join(signed("a", "sig_a"), "a").join(signed("b", "sig_b"), "b")
+    schema = "a long, b long"
+    agreeing = _agreeing(_least(percent))
+    return stars.mapInArrow(agreeing, schema).union(pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(agreeing, schema))
 
 
 def _meetings(cell: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -278,13 +296,13 @@ def remainder(docs: DataFrame, nodes: DataFrame, near: DataFrame, grouped: DataF
     cell holds a block of either kind, so no task needs a whole region. Pairs live inside a cell only: signatures
     decide which rows' texts are fetched, full sets confirm, and one link is given for each member and component.
     """
-    members = near.where(F.col("level") == LEVELS[0]).select("region", F.col("a").alias("id")).distinct()
+    members = near.where(F.col("level") == LEAST).select("region", F.col("a").alias("id")).distinct()
     members = members.join(grouped.select(F.col("node").alias("id"), "component"), "id")
     sizes = members.groupBy("region", "component").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("region").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / CELL).cast("long")
     sizes = sizes.select("region", F.col("m.component").alias("main"), blocks(F.col("n")).alias("wide"), blocks(F.col("n") - F.col("m.n")).alias("high"))
-    open_ = members.join(sizes, "region").withColumn("outside", F.col("component") != F.col("main"))
+    open_ = members.join(_anew(sizes, "region"), "region").withColumn("outside", F.col("component") != F.col("main"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     mine = lambda n: F.pmod(F.xxhash64("id"), n)
     held = open_.withColumn("i", mine(F.col("wide"))).withColumn("j", every(F.col("high"))).withColumn("other", F.lit(False))
@@ -300,18 +318,21 @@ def remainder(docs: DataFrame, nodes: DataFrame, near: DataFrame, grouped: DataF
 
 def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, text): a text for each node of ``ids``."""
-    wanted = nodes.select("node", "doc_id").join(ids, "node").select(F.col("doc_id").alias("__id")).distinct()
-    texts = docs.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    wanted = nodes.select("node", "doc_id").join(ids, "node").select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none")).distinct()
+    id_ = F.col("doc_id").cast("long")
+    texts = docs.select(F.coalesce(id_, F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none"), "text").join(_anew(wanted, "id"), ["id", "none"], "left_semi").select("text")
     return checkpointed(texts.mapInArrow(_noded, "node long, text string").dropDuplicates(["node"]).join(ids, "node", "left_semi"))
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = _texts(docs, nodes, ids)
-    pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return pairs.mapInArrow(_confirmed(percent), "a long, b long")
+    texts = _texts(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    shares = pairs.distinct().select("a", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("share"), F.col("b").alias("node"))
+    rows = shares.union(shares.select("a", "share", F.col("a").alias("node")).distinct())
+    rows = rows.join(texts, "node").select("a", "share", "node", "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "a", "share").sortWithinPartitions("a", "share", (F.col("node") != F.col("a")).cast("int"))
+    return dealt.mapInArrow(_confirmed(percent), "a long, b long")
 
 
 def components(docs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
@@ -346,28 +367,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _with_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for f in batches:
-        nodes = pa.array([_node(s) for s in shingle_sets(f.column("text"))], pa.int64())
-        yield pa.RecordBatch.from_arrays([*f.columns, nodes], [*f.schema.names, "__node"])
-
-
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: one that has the smallest doc_id, null last.
 
-    Rows without words stay all. Columns, whatever their names, are those of ``docs``.
+    Rows without words stay all. Of rows of a component with equal doc_ids the one with the smallest hash of its text
+    stays, any one of equal texts. Columns, whatever their names, are those of ``docs``.
     """
+    node, id_, none, row = free(docs, "node", "id", "none", "row")
+
+    def with_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            nodes = pa.array([_node(s) for s in shingle_sets(f.column("text"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*f.columns, nodes], [*f.schema.names, node])
+
     grouped = components(docs, checkpointed(signatures(docs)), percent)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("node"))).alias("m")
-    winners = grouped.groupBy("component").agg(first)
-    id_, none = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull()
-    winners = winners.select(F.col("m.node").alias("__node"), F.coalesce("m.doc_id", F.lit(-1)).alias("__id"), F.col("m.none").alias("__none"), F.lit(True).alias("__won"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())])
-    rows = docs.mapInArrow(_with_nodes, schema).withColumn("__id", id_).withColumn("__none", none)
-    keys = ["__node", "__id", "__none"]
-    one = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text")))
-    joined = rows.join(winners, keys, "left").where(F.col("__won") | F.col("__node").isNull()).withColumn("__one", one)
-    return joined.where((F.col("__one") == 1) | F.col("__node").isNull()).select(*docs.columns)
+    winners = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("node"))).alias("m"))
+    winners = winners.select(F.col("m.node").alias(node), F.coalesce("m.doc_id", F.lit(-1)).alias(id_), F.col("m.none").alias(none))
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(wordy).mapInArrow(with_nodes, T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())]))
+    rows = rows.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(none, F.col("doc_id").isNull())
+    keys, columns = [node, id_, none], [quoted(c) for c in docs.columns]
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.xxhash64("text")).alias(row)).join(winners, keys, "left_semi")
+    return one.select(*[F.col(f"{row}.{c}") for c in columns]).union(docs.where(~wordy))
 
 
 NEAR_SQL = r"""

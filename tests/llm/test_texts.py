@@ -120,6 +120,29 @@ def test_copies_of_copies_in_a_large_group(spark):
     assert {r.component_id for r in got if r.doc_id >= 1000} == {1000}
 
 
+def loose_region(rng, pairs):
+    """Texts alike at about 0.74 to all others, each with one true partner at 0.86: no hub links anything."""
+    base = words(rng, 400).split(" ")
+    spots, out = range(6, 392, 10), []
+    for i in range(pairs):
+        at = rng.sample(spots, 9)
+        for k, own in ((0, at[3:6]), (1, at[6:])):
+            w = list(base)
+            for x in at[:3]:
+                w[x] = f"both{i}x{x}"
+            for x in own:
+                w[x] = f"own{i}x{k}x{x}"
+            out.append((10 * i + k, " ".join(w), "en", "a"))
+    return out
+
+
+def test_pairs_in_a_loose_region(spark):
+    rows = loose_region(random.Random(2), 150)
+    got = {r.doc_id: r.component_id for r in lshforest.near_duplicates(table(spark, rows), 85).collect()}
+    assert got == {i: i - i % 10 for i, *_ in rows}
+    assert {(i, c) for i, _, c, _ in brute_components(rows[:60], 85)} == {(i, i - i % 10) for i, *_ in rows[:60]}
+
+
 def test_deduplicate_keeps_one_of_each(spark, edges):
     docs = table(spark, edges)
     out = lshforest.deduplicate(docs, 80)
