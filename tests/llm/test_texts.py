@@ -243,7 +243,8 @@ def test_em_reaches_the_best_proportions():
     counts["a"][:40], counts["b"][20:60] = 5, 5
     m = langmix.Model(counts)
     text = np.concatenate([rng.integers(0, 40, 700), rng.integers(20, 60, 300)])
-    share = dict(m.infer([text])[0])
+    chosen, main = m.infer([text])[0]
+    share = dict(chosen)
     grid = np.linspace(0.001, 0.999, 999)
     likely = [np.log(x * m.p[text, 0] + (1 - x) * m.p[text, 1]).sum() for x in grid]
     assert abs(share["a"] - grid[int(np.argmax(likely))]) < 0.02
@@ -482,8 +483,8 @@ def test_scores_equal_a_plain_sampler(spark, edges, monkeypatch, share):
         assert got[parts].keys() == ids - {None}
     for i, text, *_ in rows:
         if i is not None:
-            assert got[1][i].score == pytest.approx(plain.score(text), rel=1e-9)
-            assert got[5][i].score == pytest.approx(got[1][i].score, rel=1e-9)
+            assert got[1][i].score == pytest.approx(plain.score(text), rel=1e-6)
+            assert got[5][i].score == pytest.approx(got[1][i].score, rel=1e-6)
     v = next(w for w, c in plain.followed.most_common() if w != plain.start)
     assert sum(plain.probability(v, w) for w in [*plain.count, 1]) == pytest.approx(1)
 
