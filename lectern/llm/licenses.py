@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.names import free
+
 # Normalised sentences of public licence texts and notices, with this module's identifiers.
 SENTENCES: dict[str, str] = {
     "licensed under the apache license version 2 0": "apache_ref",
@@ -116,32 +118,34 @@ def scan(
     ``licenses``: licences whose rules matched, distinct, in the order of first rules, joined by ``|`` (none: empty).
     ``verdict``: the most binding class among them; ``unclear`` where sentences were known but no rule matched;
     ``none`` where none was known. Null and empty texts: 0, empty, empty, ``none``. Repeated rows stay repeated.
-    Columns of ``docs`` with one of the four names are replaced; other columns pass unread.
+    A very long text is scanned whole. Columns of ``docs`` with one of the four names are replaced; other columns pass
+    unread, whatever their names.
     """
+    own, hit = free(docs, "ids", "hits")
     all_known = {k: (v,) for k, v in known.items()} | dict(wordings)
     table = F.create_map(*[x for k, v in all_known.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
     ids = F.flatten(F.transform(runs_of_lines(F.col(text), list(all_known)), lambda s: F.try_element_at(table, s)))
     # every identifier stands between bars of its own: |a||b||c|
-    left = F.concat(F.lit("|"), F.array_join(F.transform("__ids", lambda x: F.concat(x, F.lit("|"))), "|"))
+    left = F.concat(F.lit("|"), F.array_join(F.transform(own, lambda x: F.concat(x, F.lit("|"))), "|"))
     runs = F.array(*[F.struct(F.lit("".join(f"|{x}|" for x in seq)).alias("run"), F.lit(name).alias("name"), F.lit(kind).alias("kind")) for name, kind, seq in rules])
     nothing = F.array().cast("array<struct<name:string,kind:string>>")
 
     def apply(acc: Column, rule: Column) -> Column:
-        hit = F.when(F.contains(acc["left"], rule["run"]), F.array(F.struct(rule["name"], rule["kind"]))).otherwise(nothing)
-        return F.struct(F.replace(acc["left"], rule["run"], F.lit("|#|")).alias("left"), F.concat(acc["hits"], hit).alias("hits"))
+        found = F.when(F.contains(acc["left"], rule["run"]), F.array(F.struct(rule["name"], rule["kind"]))).otherwise(nothing)
+        return F.struct(F.replace(acc["left"], rule["run"], F.lit("|#|")).alias("left"), F.concat(acc["hits"], found).alias("hits"))
 
     hits = F.aggregate(runs, F.struct(left.alias("left"), nothing.alias("hits")), apply, lambda acc: acc["hits"])
-    out = docs.withColumn("__ids", ids).withColumn("__hits", F.when(F.size("__ids") > 0, hits).otherwise(nothing))
-    verdict = F.when(F.size("__ids") == 0, F.lit("none"))
+    out = docs.withColumn(own, ids).withColumn(hit, F.when(F.size(own) > 0, hits).otherwise(nothing))
+    verdict = F.when(F.size(own) == 0, F.lit("none"))
     for kind in CLASSES:
-        verdict = verdict.when(F.array_contains("__hits.kind", kind), F.lit(kind))
+        verdict = verdict.when(F.array_contains(f"{hit}.kind", kind), F.lit(kind))
     names = dict.fromkeys(name for name, _, _ in rules)
     return (
-        out.withColumn("n_known", F.size("__ids").cast("long"))
-        .withColumn("sentence_ids", F.array_join("__ids", "|"))
-        .withColumn("licenses", F.concat_ws("|", *[F.when(F.array_contains("__hits.name", n), F.lit(n)) for n in names]))
+        out.withColumn("n_known", F.size(own).cast("long"))
+        .withColumn("sentence_ids", F.array_join(own, "|"))
+        .withColumn("licenses", F.concat_ws("|", *[F.when(F.array_contains(f"{hit}.name", n), F.lit(n)) for n in names]))
         .withColumn("verdict", verdict.otherwise(F.lit("unclear")))
-        .drop("__ids", "__hits")
+        .drop(own, hit)
     )
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.names import free, quoted
+from lectern.llm.names import renamed
 from lectern.llm.text_arrays import chunks, mix64, shingles, utf8, word_hashes
 from lectern.operators.graph import connected_components
 from lectern.session import checkpointed
@@ -373,22 +373,22 @@ def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows without words stay all. Of rows of a component with equal doc_ids the one with the smallest hash of its text
     stays, any one of equal texts. Columns, whatever their names, are those of ``docs``.
     """
-    node, id_, none, row = free(docs, "node", "id", "none", "row")
+    docs, back = renamed(docs, "doc_id", "text")
 
     def with_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in batches:
             nodes = pa.array([_node(s) for s in shingle_sets(f.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*f.columns, nodes], [*f.schema.names, node])
+            yield pa.RecordBatch.from_arrays([*f.columns, nodes], [*f.schema.names, "node"])
 
     grouped = components(docs, checkpointed(signatures(docs)), percent)
     winners = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("node"))).alias("m"))
-    winners = winners.select(F.col("m.node").alias(node), F.coalesce("m.doc_id", F.lit(-1)).alias(id_), F.col("m.none").alias(none))
+    winners = winners.select(F.col("m.node").alias("node"), F.coalesce("m.doc_id", F.lit(-1)).alias("id"), F.col("m.none").alias("none"))
     wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(wordy).mapInArrow(with_nodes, T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())]))
-    rows = rows.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(none, F.col("doc_id").isNull())
-    keys, columns = [node, id_, none], [quoted(c) for c in docs.columns]
-    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.xxhash64("text")).alias(row)).join(winners, keys, "left_semi")
-    return one.select(*[F.col(f"{row}.{c}") for c in columns]).union(docs.where(~wordy))
+    rows = docs.where(wordy).mapInArrow(with_nodes, T.StructType([*docs.schema.fields, T.StructField("node", T.LongType())]))
+    rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("none", F.col("doc_id").isNull())
+    keys = ["node", "id", "none"]
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).join(winners, keys, "left_semi")
+    return back(one.select("row.*").union(docs.where(~wordy)))
 
 
 NEAR_SQL = r"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 
@@ -16,6 +18,12 @@ def free(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def renamed(df: DataFrame, *known: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with plain, unused names for all columns but the known ones, and what gives its names back to a result."""
+    columns = df.columns
+    return df.toDF(*[c if c in known else f"extra_{i}" for i, c in enumerate(columns)]), lambda out: out.toDF(*columns)
+
+
 def quoted(name: str) -> str:
     """The name as an SQL identifier, dots and all."""
     return "`" + name.replace("`", "``") + "`"
