@@ -14,15 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.names import free, quoted
 from lectern.session import checkpointed
 
 Schedule = Sequence[tuple[float, float]]
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources are named in the caller's configuration; more than this many point to a wrong column.
-MOST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -147,27 +146,27 @@ def mix(
     holds one training time for each take, rising; documents of size 0 are never taken.
 
     Null sources are a source of their own. Repeated rows count each. An empty table gives an empty one. Other
-    columns of ``docs`` are not read. A source may hold any share of the rows: its supply is summed by a range
-    sort, and only one total for each source and partition (and one target for each source) reaches the driver.
+    columns of ``docs`` are not read. A very long text is counted like any other. A source may hold any share of the
+    rows, and so may a key: a source's supply is summed by a range sort that ends in a row number. Texts are read once:
+    what is sorted are written sizes and keys. One total for each source, and one more where it goes on in another
+    partition, reaches the driver, about 100 bytes each; there may be any number of sources that it can hold so.
     """
     spark = docs.sparkSession
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) if key is None else key
     ties = [t.alias(f"__t{i}") for i, t in enumerate(tie)]
-    slim = docs.select(*keep, F.col("source"), size.alias("size"), key.alias("__key"), *ties)
-    order = [F.col("source").asc_nulls_last(), F.col("__key"), F.col("size"), *[F.col(f"__t{i}") for i in range(len(ties))]]
+    slim = docs.select(*keep, F.col("source"), size.alias("size"), key.alias("__key"), *ties, F.monotonically_increasing_id().alias("__salt"))
+    order = [F.col("source").asc_nulls_last(), F.col("__key"), F.col("size"), *[F.col(f"__t{i}") for i in range(len(ties))], F.col("__salt")]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = slim.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__key", *[f"__t{i}" for i in range(len(ties))])
+    ranged = checkpointed(slim).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__key", "__salt", *[f"__t{i}" for i in range(len(ties))])
     ranged = ranged.withColumn("part", F.spark_partition_id()).withColumn("before", F.lit(0).cast("long"))
 
     placed = checkpointed(ranged.mapInArrow(_depths, ranged.schema))
-    totals = placed.groupBy("part", "source").agg(F.sum("size").alias("size")).collect()
+    totals = placed.groupBy("part", "source").agg(F.sum("size").alias("size")).toArrow()
     sizes: dict[str | None, int] = {}
     starts: dict[tuple[int, str | None], int] = {}
-    for r in sorted(totals, key=lambda r: r["part"]):
-        starts[r["part"], r["source"]] = sizes.get(r["source"], 0)
-        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"{len(sizes)} sources; schedules for over {MOST_SOURCES} aren't foreseen")
+    for part, source, total in sorted(zip(*(totals[c].to_pylist() for c in ("part", "source", "size")), strict=True), key=lambda r: r[0]):
+        starts[part, source] = sizes.get(source, 0)
+        sizes[source] = sizes.get(source, 0) + total
     schedules = dict(schedule_of(sorted(sizes, key=lambda s: (s is None, s or ""))))
     want = targets(sizes, {s: integral(schedules[s]) for s in sizes}, sum(sizes.values()) if budget is None else budget, epochs)
     schema = ", ".join(f"`{c}` {t}" for c, t in placed.drop("before", "part").dtypes) + ", source_size long, target double, taken long, positions array<double>"
@@ -183,18 +182,27 @@ def in_turn(sources: Sequence[str | None]) -> dict[str | None, Schedule]:
     return {s: CURRICULUM[i % len(CURRICULUM)] for i, s in enumerate(sources)}
 
 
+def _plain(df: DataFrame, name: str) -> Column:
+    """A column as something that can be hashed."""
+    kind = df.schema[name].dataType.simpleString()
+    return F.to_json(F.struct(F.col(quoted(name)))) if "map<" in kind or "variant" in kind else F.col(quoted(name))
+
+
 def mixed_rows(docs: DataFrame, schedule_of: Callable[[Sequence[str | None]], Mapping[str | None, Schedule]], size: Column, budget: int | None = None, epochs: int = 3) -> DataFrame:
     """``docs`` as training takes them: a row for each take, sorted by training position; columns as they were.
 
-    Documents that aren't taken, those of size 0 among them, are left out. Rows that are equal in doc_id, text and
-    source are told apart by number only.
+    Documents that aren't taken, those of size 0 among them, are left out. Rows that are equal in all columns are
+    one row with the takes of all of them, so a row may be repeated any number of times; other names may be any.
     """
-    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text", F.col("source").isNull(), "source")
-    takes = mix(docs.withColumn("__row", row), schedule_of, size, tie=[row], budget=budget, epochs=epochs, keep=("__row",))
-    takes = takes.where("taken > 0").groupBy("__row").agg(F.sort_array(F.collect_list("positions")).alias("__takes"))
-    numbered = docs.withColumn("__row", row).withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
-    out = numbered.join(takes, "__row").withColumn("__at", F.explode(F.get("__takes", F.col("__n") - 1)))
-    return out.orderBy("__at", "__row").select(*docs.columns)
+    row, at, one = free(docs, "row", "at", "one")
+    parts = [x for c in docs.columns for x in (F.col(quoted(c)).isNull(), _plain(docs, c))]
+    numbered = docs.withColumn(row, F.xxhash64(*parts))
+    takes = mix(numbered, schedule_of, size, tie=[F.col(row)], budget=budget, epochs=epochs, keep=(row,))
+    takes = takes.select(row, F.explode("positions").alias(at))
+    rows = numbered.groupBy(row).agg(F.any_value(F.struct(*[quoted(c) for c in docs.columns])).alias(one))
+    # a key that Spark takes for another one: both sides of the join come from exchanges that it can split
+    rows = rows.withColumn(row, F.bitwise_not(F.bitwise_not(F.col(row))))
+    return takes.join(rows, row).orderBy(at, row).select(*[F.col(f"{one}.{quoted(c)}") for c in docs.columns])
 
 
 MIX_SQL = r"""
