@@ -2,7 +2,7 @@
 
 The histogram of all lengths decides the bucket boundaries: dynamic programming over its bins finds, for up to
 ``buckets`` buckets, the upper boundaries under which padding every document to its bucket's boundary wastes the
-fewest tokens. Inside a bucket documents are ranked by a hash, and each batch holds as many as fit the token budget
+fewest tokens. Inside a bucket documents are ranked by a hash or in a given order, and each batch holds as many as fit the token budget
 at the bucket's length.
 
 Bins: lengths up to 512 are exact; longer ones are rounded up to 9 significant binary digits, so there are fewer
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.ordering import global_rank
+from lectern.session import checkpointed
 
 DIGITS = 9
 
@@ -66,19 +67,21 @@ def boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> l
     return out[::-1]
 
 
-def pack(docs: DataFrame, length: Column, buckets: int = 8, budget: int = 16_384, key: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, length: Column, buckets: int = 8, budget: int = 16_384, key: str = "doc_id", order: Sequence[Column] | None = None) -> DataFrame:
     """For each document: ``key``, n_tokens, bucket int, bucket_tokens, batch, slot, batch_docs long.
 
     ``bucket`` counts from 0; ``bucket_tokens`` is the length that its documents are padded to. Batches are
     numbered from 0 inside a bucket, documents inside a batch by ``slot``; ``batch_docs`` is how many a full batch
     of the bucket holds: the budget divided by bucket_tokens, 1 at least, so a document longer than the budget is
-    whole in a batch of its own kind.
+    whole in a batch of its own kind. Inside a bucket documents stand in the given order, or by a hash of ``key``.
 
     Empty or null texts have length 0 and a bucket like all others. Repeated rows are packed each. An empty table
     gives an empty one. Other columns aren't read. Any bucket may hold any share of the rows: ranks come from one
-    range sort. The driver gets the histogram, under 16,000 rows.
+    range sort. Texts are read once: lengths are written, and all later steps read them. The driver gets the
+    histogram, under 16,000 rows.
     """
-    sized = docs.select(F.col(key), length.cast("long").alias("n_tokens"))
+    ranks = [o.alias(f"__o{i}") for i, o in enumerate([F.xxhash64(key), F.col(key)] if order is None else order)]
+    sized = checkpointed(docs.select(F.col(key), length.cast("long").alias("n_tokens"), *ranks, F.monotonically_increasing_id().alias("__salt")))
     sized = sized.withColumn("__bin", F.when(F.col("n_tokens") > 0, binned(F.col("n_tokens"))).otherwise(F.lit(0).cast("long")))
     bins = sized.groupBy("__bin").agg(F.count("*"), F.coalesce(F.max("n_tokens"), F.lit(0)))
     histogram = sorted(tuple(r) for r in bins.collect())
@@ -88,8 +91,7 @@ def pack(docs: DataFrame, length: Column, buckets: int = 8, budget: int = 16_384
     tokens = [max(0, longest.get(t, 0)) for t in tops]
     bucket = F.size(F.filter(F.array(*[F.lit(t).cast("long") for t in tops]), lambda t: t < F.col("__bin")))
     placed = sized.withColumn("bucket", bucket).drop("__bin")
-    order = [F.col("bucket"), F.xxhash64(key), F.col(key), F.col("n_tokens"), F.col("__salt")]
-    ranked = global_rank(placed.withColumn("__salt", F.monotonically_increasing_id()), order, "__rank").drop("__salt")
+    ranked = global_rank(placed, [F.col("bucket"), *[F.col(f"__o{i}") for i in range(len(ranks))], F.col("n_tokens"), F.col("__salt")], "__rank")
     pick = lambda xs: F.get(F.array(*[F.lit(x).cast("long") for x in xs]), F.col("bucket"))
     inside = F.col("__rank") - pick([0, *counts[:-1]])
     return (
