@@ -4,9 +4,10 @@ Every language is a multinomial over hashed letter trigrams, learned from labell
 from an unknown mixture of languages; expectation-maximisation finds the proportions. Of the language sets made of the
 k most probable languages, k = 1, 2, ..., the one with the highest penalised likelihood is selected: every language
 after the first costs ``PENALTY`` nats for each trigram of the text besides log n. The prediction is the set's main
-language, the score its proportion.
+language, the score its proportion in the mixture of all languages.
 
-The model has ``BUCKETS`` numbers for each language whatever the size of the data; all labelled rows are counted.
+The model has ``BUCKETS`` numbers for each language whatever the size of the data, half a megabyte; all labelled rows
+are counted. Languages are tags: there may be as many as the driver and each worker can hold so.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.names import free, quoted
+
 BUCKETS = 1 << 16
 ALPHA = 0.1
 STEPS = 12
 PENALTY = 0.02
-#: Languages are tags in the data; more than this many point to a wrong column.
-MOST_LANGUAGES = 1000
-#: Trigrams that are fitted together; a text isn't cut.
-HELD = 1 << 17
+#: Trigrams times languages that are fitted together; a text isn't cut.
+HELD = 1 << 19
 
 _LETTER: np.ndarray | None = None
 
@@ -75,9 +76,10 @@ class Model:
         table = np.array([counts[x] for x in self.languages], float).reshape(-1, BUCKETS) + ALPHA
         self.p = np.ascontiguousarray((table / table.sum(1, keepdims=True)).T)
 
-    def infer(self, texts: list[np.ndarray]) -> list[list[tuple[str, float]]]:
-        """For each text's trigrams the selected languages with their proportions, the main one first."""
-        out: list[list[tuple[str, float]]] = [[] for _ in texts]
+    def infer(self, texts: list[np.ndarray]) -> list[tuple[list[tuple[str, float]], float]]:
+        """For each text's trigrams the selected languages with their proportions, the main one first; and the main one's
+        proportion in the mixture of all languages."""
+        out: list[tuple[list[tuple[str, float]], float]] = [([], 0.0) for _ in texts]
         full = [i for i, x in enumerate(texts) if len(x)]
         if not full or not self.languages:
             return out
@@ -106,9 +108,9 @@ class Model:
             chosen[open_[better]] = fit[better]
             best[open_] = np.where(better, reached - (k - 1) * price[open_], best[open_])
             open_ = open_[total[open_] - k * price[open_] > best[open_]]
-        for i, row in zip(full, chosen, strict=True):
+        for i, row, whole in zip(full, chosen, theta, strict=True):
             at = [j for j in np.argsort(-row, kind="stable") if row[j] > 0]
-            out[i] = [(self.languages[j], float(row[j])) for j in at]
+            out[i] = [(self.languages[j], float(row[j])) for j in at], min(1.0, float(whole[at[0]]))
         return out
 
     @staticmethod
@@ -128,8 +130,6 @@ def learn(docs: DataFrame, learns: Column) -> Model:
     counts: dict[str, np.ndarray] = {}
     for lang, at, n in _columns(counted.groupBy("lang").agg(F.collect_list("bucket"), F.collect_list("n"))):
         counts.setdefault(lang, np.zeros(BUCKETS, np.int64))[np.array(at, int)] = n
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages; over {MOST_LANGUAGES} aren't foreseen")
     return Model(counts)
 
 
@@ -141,34 +141,37 @@ def _columns(df: DataFrame) -> list[tuple]:
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """Columns ``keep``, then lang_pred string, score double, lang_set array<struct<lang string, share double>>.
 
-    The three names start with ``prefix``.
+    The three names start with ``prefix``. ``score`` is the main language's share of the mixture of all languages, ``lang_set``
+    holds the selected languages' shares of theirs.
 
     ``lang_pred`` is a learned language, or ``und`` (score 0, empty set) where the text is null or has no letter, or
     where nothing was learned. Equal texts get equal predictions; repeated rows stay; an empty table gives an empty
     one; no other column than text is read. A batch of texts is held at once, a very long text alone.
     """
-    text = "text" if "text" in keep else "__text"
+    text = "text" if "text" in keep else free(docs, "whole_text")[0]
+    most = HELD // max(1, len(model.languages))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in batches:
-            sets: list[list[tuple[str, float]]] = []
+            found: list[tuple[list[tuple[str, float]], float]] = []
             waiting, held = [], 0
             for one in f.column(text).to_pylist():
                 waiting.append(trigrams(one))
                 held += len(waiting[-1])
-                if held >= HELD:
-                    sets += shared.value.infer(waiting)
+                if held >= most:
+                    found += shared.value.infer(waiting)
                     waiting, held = [], 0
-            sets += shared.value.infer(waiting)
+            found += shared.value.infer(waiting)
+            sets = [s for s, _ in found]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
             made = [
                 pa.array([s[0][0] if s else "und" for s in sets], pa.string()),
-                pa.array([min(1.0, s[0][1]) if s else 0.0 for s in sets], pa.float64()),
+                pa.array([main for _, main in found], pa.float64()),
                 pa.array([[{"lang": x, "share": y} for x, y in s] for s in sets], kind),
             ]
             yield pa.RecordBatch.from_arrays([*[f.column(c) for c in keep], *made], [*keep, f"{prefix}lang_pred", f"{prefix}score", f"{prefix}lang_set"])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"{prefix}lang_pred string, {prefix}score double, {prefix}lang_set array<struct<lang:string,share:double>>"])
-    return docs.select(*keep, *([] if text == "text" else [F.col("text").alias("__text")])).mapInArrow(predict, schema)
+    schema = ", ".join([*[f"{quoted(c)} {kinds[c]}" for c in keep], f"{prefix}lang_pred string, {prefix}score double, {prefix}lang_set array<struct<lang:string,share:double>>"])
+    return docs.select(*map(quoted, keep), *([] if text == "text" else [F.col("text").alias(text)])).mapInArrow(predict, schema)
