@@ -33,6 +33,7 @@ def test_license_sequences(spark, edges):
     docs = table(spark, edges)
     out = licenses.scan(docs)
     assert out.count() == len(edges) and set(docs.columns) < set(out.columns)
+    assert out.where("hits <> 'hits' OR ids <> 'ids'").count() == 0
     assert licenses.scan(table(spark, [])).count() == 0
 
 
@@ -105,6 +106,7 @@ def test_mixed_rows_repeat_documents(spark, edges):
     takes = mixing.mix(docs, mixing.in_turn, mixing.word_count(F.col("text"))).select(F.sum(F.size("positions"))).first()[0]
     out = mixing.mixed_rows(docs, mixing.in_turn, mixing.word_count(F.col("text")))
     assert out.columns == docs.columns and out.count() == takes
+    assert out.where("row <> 'row' OR `at` <> 'at' OR one <> 'one' OR `a.b` <> 'a.b'").count() == 0
     assert mixing.mixed_rows(table(spark, []), mixing.in_turn, mixing.word_count(F.col("text"))).count() == 0
 
 
@@ -176,22 +178,66 @@ def test_distrust_flows_to_linking_hosts(spark):
     assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
 
 
-def test_ranks_match_dense_iteration(spark):
+def dense_ranks(n, edges, seeds):
+    """The walk's linear system, solved as a whole."""
+    m, v = np.zeros((n, n)), np.zeros(n)
+    for a, b, w in edges:
+        m[b, a] += w
+    total = m.sum(0)
+    for node, share in seeds:
+        v[node] = share
+    return np.linalg.solve(np.eye(n) - 0.85 * m / np.where(total == 0, 1, total), 0.15 * v)
+
+
+def test_ranks_solve_the_linear_system(spark):
     rng = random.Random(5)
     pairs = {(rng.randrange(9), rng.randrange(9)) for _ in range(30)}
-    edges = [("trust", str(a), str(b), float(1 + (a * b) % 3)) for a, b in pairs if a != b]
-    seeds = [("trust", "0", 0.75), ("trust", "3", 0.25)]
-    got = {r.node: r["rank"] for r in urlgraph.ranks(spark.createDataFrame(edges, "side string, src string, dst string, weight double"), spark.createDataFrame(seeds, "side string, node string, share double")).collect()}
-    m, v = np.zeros((9, 9)), np.zeros(9)
-    for _, a, b, w in edges:
-        m[int(b), int(a)] = w
-    total = m.sum(0)
-    m = m / np.where(total == 0, 1, total)
-    v[0], v[3] = 0.75, 0.25
-    r = 0.15 * v
-    for _ in range(urlgraph.ROUNDS):
-        r = 0.15 * v + 0.85 * m @ r
-    assert max(abs(got.get(str(i), 0.0) - r[i]) for i in range(9)) < 1e-12
+    edges = [(a, b, float(1 + (a * b) % 3)) for a, b in pairs]
+    assert any(a == b for a, b, _ in edges)
+    rows = spark.createDataFrame([("trust", str(a), str(b), w) for a, b, w in edges], "side string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("trust", "0", 0.75), ("trust", "3", 0.25)], "side string, node string, share double")
+    got = {r.node: r["rank"] for r in urlgraph.ranks(rows, seeds).collect()}
+    want = dense_ranks(9, edges, [(0, 0.75), (3, 0.25)])
+    assert max(abs(got.get(str(i), 0.0) - want[i]) for i in range(9)) < 1e-6
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_verdicts_of_a_link_graph(spark, monkeypatch, sent):
+    """Whole verdicts against the dense solution; most hosts have no rule and are told by links alone."""
+    monkeypatch.setattr(urlgraph, "MOST_SENT", sent)
+    rng = random.Random(11)
+    hosts = [f"h{i}.{'org' if i < 6 else 'net' if i < 30 else 'com'}" for i in range(36)]
+    rows, edges = [], []
+    for i, h in enumerate(hosts):
+        html = ["<p>text</p>"]
+        for _ in range(rng.randint(0, 5)):
+            j = rng.randrange(36)
+            form = rng.choice(['<a href="http://{}/x">', "<img src='//{}/i.png'>", "<form action=HTTPS://{}?q>", "see http://{}/bare now"])
+            html.append(form.format(hosts[j].upper()))
+            edges.append((i, j, 1.0))
+        for _ in range(rng.randint(0, 2)):
+            html.append(rng.choice(['<a href="/own">', "<a href=next.html>", '<img src="pic.png">']))
+            edges.append((i, i, 1.0))
+        html.append('<a href="#top"><a href="mailto:a@b.c"><a href="javascript:go()">')
+        rows.append((i, f"http://{h}/{'de/' if h.endswith('com') else ''}{i}", " ".join(html)))
+    kinds = ["allow" if h.endswith("org") else "block" if h.endswith("com") else None for h in hosts]
+    seeds = lambda kind: [(i, 1 / kinds.count(kind)) for i in range(36) if kinds[i] == kind]
+    trust, distrust = dense_ranks(36, edges, seeds("allow")), dense_ranks(36, [(b, a, w) for a, b, w in edges], seeds("block"))
+    want = {i: kinds[i] or ("block" if distrust[i] > trust[i] else "allow") for i in range(36)}
+    assert {want[i] for i in range(36) if kinds[i] is None} == {"allow", "block"}
+    assert {r.page_id: r.verdict for r in urlgraph.judge(_pages(spark, rows)).collect()} == want
+
+
+def test_family_ties_are_an_option(spark):
+    rows = [(1, "http://bad.com/de/1", ""), (2, "http://sub.bad.com/x", "")]
+    verdict = lambda ties: {r.page_id: r.verdict for r in urlgraph.judge(_pages(spark, rows), ties=ties).collect()}
+    assert verdict(False) == {1: "block", 2: "allow"} and verdict(True) == {1: "block", 2: "block"}
+
+
+def test_long_urls_and_pages(spark):
+    rows = [(1, "http://a.net/" + "x" * 200_000, "<a href=/b>" * 20_000), (1, "http://a.net/" + "x" * 200_000, "<a href=/b>" * 20_000)]
+    got = urlgraph.judge(_pages(spark, rows)).collect()
+    assert [(r.host, len(r.path), r.verdict) for r in got] == [("a.net", 200_001, "allow")] * 2
 
 
 def test_bucket_tokens_are_real_lengths(spark):
