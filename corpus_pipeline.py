@@ -7,10 +7,12 @@ ID rejects them, as they have no letter. Repeated rows count as documents until
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import langmix, lshforest, mixing, packing, toxicity
+from lectern.llm.names import renamed
 from lectern.session import checkpointed, ship, table
 
 #: SQL can't express the classifiers.
@@ -21,9 +23,10 @@ LEAST_SHARE = 0.5
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.7 by the classifier learned from the labelled ones."""
+    docs, back = renamed(docs, "doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns), prefix="__toxic_")
-    return scored.where(F.col("__toxic_predicted") == 0).select(*docs.columns)
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns))
+    return back(scored.where("predicted = 0").select(*docs.columns))
 
 
 def with_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +35,13 @@ def with_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Where no document has a language to learn from, all documents stay.
     """
     ship(spark)
+    docs, back = renamed(docs, "doc_id", "text", "lang")
     model = langmix.learn(docs, F.lit(True))
     if not model.languages:
-        return docs
-    found = langmix.identify(docs, model, keep=tuple(docs.columns), prefix="__lang_")
-    return found.where((F.col("__lang_lang_pred") != "und") & (F.col("__lang_score") >= LEAST_SHARE)).select(*docs.columns)
+        return back(docs)
+    found = langmix.identify(docs, model, keep=tuple(docs.columns))
+    main = F.get("lang_set", F.lit(0))["share"]
+    return back(found.where((F.col("lang_pred") != "und") & (main >= LEAST_SHARE)).select(*docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +56,20 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs, mixing.in_turn, mixing.word_count(F.col("text")))
 
 
+def training_order(docs: DataFrame) -> list[Column]:
+    """The order in which the rows were written: by file and row where they are read from Parquet files, else as they come."""
+    try:
+        at = docs.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        assert at.columns == ["file", "row"]
+    except AnalysisException:  # no files, or none with row numbers
+        return [F.monotonically_increasing_id()]
+    return [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's length bucket, batch and place in the batch."""
+    """Every row's length bucket, batch and place in the batch; batches follow the training order of the rows."""
     ship(spark)
-    return packing.pack(docs, mixing.word_count(F.col("text")))
+    return packing.pack(docs, mixing.word_count(F.col("text")), order=training_order(docs))
 
 
 STAGES = [
