@@ -12,8 +12,8 @@ its square. What they leave open is made up in full: where the members of a larg
 still in several components, all its pairs across components are compared, signatures first, in cells of a bounded
 size. So two classes that share such a prefix in any order are compared, or are in one component without.
 
-A hub may have any number of candidates: its signature travels with its region, its text goes once to each of up to
-``SALTS`` shares of them, and joins on regions leave both sides to exchanges that Spark splits where they are skewed.
+A hub may have any number of candidates: its text goes once to each of up to ``SALTS`` shares of them, and joins on
+regions and hubs leave both sides to exchanges that Spark splits where they are skewed.
 
 Candidates whose signatures agree too little are left out (over four standard deviations under the threshold), the
 others are confirmed or refused on their full sets. Links make components by star rounds in Spark.
@@ -237,14 +237,14 @@ def candidates(nodes: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     members = near.where("region IS NOT NULL").select("region", F.col("a").alias("id"), F.col("b").alias("leaf"))
     weight = members.groupBy("id").agg(F.sum(F.log("leaf")).alias("weight"))
     best = members.select("region", "id").join(weight, "id").groupBy("region").agg(F.max(F.struct("weight", "id")).alias("m"))
+    best = best.select("region", F.col("m.id").alias("a"))
     signed = lambda id_, name: nodes.select(F.col("node").alias(id_), F.col("signature").alias(name))
-    hubs = best.select("region", F.col("m.id").alias("a")).join(signed("a", "sig_a"), "a")
-    stars = members.select("region", F.col("id").alias("b")).join(_anew(hubs, "region"), "region").where("a <> b")
-    stars = stars.dropDuplicates(["b", "a"]).join(signed("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+    stars = members.select("region", F.col("id").alias("b")).join(_anew(best, "region"), "region").where("a <> b").select("a", "b").distinct()
+    hubs = best.select("a").distinct().join(signed("a", "sig_a"), "a")
+    stars = stars.join(signed("b", "sig_b"), "b").join(_anew(hubs, "a"), "a")
     pairs = near.where("region IS NULL").select("a", "b").distinct().join(signed("a", "sig_a"), "a").join(signed("b", "sig_b"), "b")
-    schema = "a long, b long"
-    agreeing = _agreeing(_least(percent))
-    return stars.mapInArrow(agreeing, schema).union(pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(agreeing, schema))
+    schema, columns, agreeing = "a long, b long", ("a", "b", "sig_a", "sig_b"), _agreeing(_least(percent))
+    return stars.select(*columns).mapInArrow(agreeing, schema).union(pairs.select(*columns).mapInArrow(agreeing, schema))
 
 
 def _meetings(cell: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
