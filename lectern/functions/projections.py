@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import squeezed
@@ -106,10 +106,11 @@ def preferred_then_rest(df: DataFrame, flag: str, score: str, key: str, most: in
 
 
 def heading_counters(df: DataFrame, heading: str, generic: Column) -> DataFrame:
-    """One row: raw, generic, duplicate and kept headings."""
-    seen = F.row_number().over(Window.partitionBy(F.lower(squeezed(F.col(heading)))).orderBy(heading))
-    rows = df.select(heading, generic.alias("g")).withColumn("n", seen)
-    return rows.agg(F.count("*").alias("raw"), F.count_if("g").alias("generic"), F.count_if(~F.col("g") & (F.col("n") > 1)).alias("duplicates"), F.count_if(~F.col("g") & (F.col("n") == 1)).alias("kept"))
+    """One row: raw, generic, duplicate and kept headings; a heading is kept once, whatever its case and blanks."""
+    by = df.groupBy(F.lower(squeezed(F.col(heading)))).agg(F.count("*").alias("n"), F.count_if(generic).alias("g"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    kept = (F.col("n") > F.col("g")).cast("long")
+    return by.agg(total(F.col("n")).alias("raw"), total(F.col("g")).alias("generic"), total(F.col("n") - F.col("g") - kept).alias("duplicates"), total(kept).alias("kept"))
 
 
 def topic_route(surveys: Column) -> Column:
@@ -136,3 +137,52 @@ class Settings:
         if extra := set(values) - set(known):
             raise ValueError(f"unknown settings: {', '.join(sorted(extra))}")
         return cls(**{k: known[k](v) for k, v in values.items()})
+
+
+def critical_columns(df: DataFrame, keep: tuple[str, ...], concepts: str) -> DataFrame:
+    """The columns ``keep`` and the names of concepts array<struct<score, name>>, the lowest score first, earlier ones first of equals."""
+    ranked = F.array_sort(F.transform(concepts, lambda c, i: F.struct(c["score"].alias("score"), i.alias("i"), c["name"].alias("name"))))
+    return df.select(*keep, F.transform(ranked, lambda c: c["name"]).alias(concepts))
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """A fixed projection: each column, or its default where it is null or not there."""
+    return df.select(*[(F.coalesce(F.col(c), d) if c in df.columns else d).alias(c) for c, d in defaults.items()])
+
+
+def note_title(forum_title: Column, title: Column, invitations: Column) -> Column:
+    """A search note's title: its forum's, else its own if it is a submission; null without one."""
+    own = F.when(F.exists(invitations, lambda i: F.contains(i, F.lit("Submission"))) & filled(title), title)
+    return F.coalesce(F.when(filled(forum_title), forum_title), own)
+
+
+def topic_row(name: Column, works: Column, evidence: Column) -> Column:
+    """A topic as a plain record, empty lists for missing ones."""
+    none = F.array().cast("array<string>")
+    return F.struct(name.alias("name"), F.coalesce(works, none).alias("works"), F.coalesce(evidence, none).alias("evidence"))
+
+
+def is_review_concept(concepts: Column, least: float = 0.3) -> Column:
+    """Whether the first concept named a review scores over the bound. concepts: array<struct<name, score>>."""
+    first = F.get(F.filter(concepts, lambda c: F.contains(F.lower(c["name"]), F.lit("review"))), F.lit(0))
+    return F.coalesce(first["score"] > least, F.lit(False))
+
+
+def valid_answer(answer: Column, schema: str, required: tuple[str, ...]) -> Column:
+    """The parsed answer if it has every required field with the right type, else null."""
+    parsed = F.from_json(answer, schema)
+    ok = F.lit(True)
+    for name in required:
+        ok = ok & parsed[name].isNotNull()
+    return F.when(ok, parsed)
+
+
+def text_window(abstract: Column, sections: Column, with_end: bool) -> Column:
+    """The abstract and the first section; with ``with_end`` also discussions and the last section, each once, in order.
+
+    sections: array<struct<id, text, discussion>> in document order.
+    """
+    n = F.size(sections)
+    wanted = lambda s, i: (i == 0) | (F.lit(with_end) & (s["discussion"] | (i == n - 1)))
+    parts = F.transform(F.filter(sections, wanted), lambda s: s["text"])
+    return F.array_join(F.concat(F.array(abstract), parts), "\n")

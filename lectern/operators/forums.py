@@ -48,14 +48,14 @@ def record_score(title: Column, abstract: Column, reviews: Column, chars: Column
     return F.struct(X.is_literature_survey(title, abstract).cast("int"), strong.cast("int"), -taxonomy.cast("int"), F.least(reviews, F.lit(6)), chars)
 
 
-def submission(notes: DataFrame) -> DataFrame:
-    """One note of each forum: the earliest submission, else the root note that has a title. notes: forum, id,
-    invitations, cdate, title."""
+def submission(notes: DataFrame, forum: str = "forum", root: str = "forum") -> DataFrame:
+    """One note of each forum: the earliest submission, else the root note (its id is ``root``'s) that has a title.
+    notes: forum, id, invitations, cdate, title."""
     is_sub = F.exists("invitations", lambda i: F.contains(i, F.lit("/-/Submission")))
-    root = (F.col("forum") == F.col("id")) & (F.coalesce("title", F.lit("")) != "")
-    ranked = notes.withColumn("__k", F.when(is_sub, 0).when(root, 1)).where("__k IS NOT NULL")
-    best = ranked.groupBy("forum").agg(F.min(F.struct("__k", F.coalesce("cdate", F.lit(0)).alias("cdate"), "id", "title")).alias("m"))
-    return best.select("forum", F.col("m.id").alias("id"), F.col("m.title").alias("title"))
+    is_root = (F.col(root) == F.col("id")) & (F.coalesce("title", F.lit("")) != "")
+    ranked = notes.withColumn("__k", F.when(is_sub, 0).when(is_root, 1)).where("__k IS NOT NULL")
+    best = ranked.groupBy(forum).agg(F.min(F.struct("__k", F.coalesce("cdate", F.lit(0)).alias("cdate"), "id", "title")).alias("m"))
+    return best.select(forum, F.col("m.id").alias("id"), F.col("m.title").alias("title"))
 
 
 def pdf_url(path: Column, site: str) -> Column:

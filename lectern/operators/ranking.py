@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.ranks import ranked_in
+
 
 def labelled(pool: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     """``pool`` with label 1 where gold has the row's keys, else 0."""
@@ -13,18 +15,18 @@ def labelled(pool: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
 
 def sample_negatives(rows: DataFrame, group: str, key: str, times: int = 7) -> DataFrame:
     """All positives, and of the negatives of each group up to ``times`` as many, in the order of md5(key)."""
-    w = Window.partitionBy(group, "label").orderBy(F.md5(F.col(key).cast("string")), key)
-    positives = F.sum("label").over(Window.partitionBy(group))
-    ranked = rows.withColumn("__n", F.row_number().over(w)).withColumn("__p", positives)
-    return ranked.where((F.col("label") == 1) | (F.col("__n") <= times * F.col("__p"))).drop("__n", "__p")
+    positives = rows.groupBy(F.col(group).alias("__g")).agg(F.sum("label").alias("__p"))
+    ranked = ranked_in(rows, [group, "label"], [F.md5(F.col(key).cast("string")), F.col(key)], "__n")
+    kept = ranked.join(positives, F.col(group).eqNullSafe(F.col("__g"))).where((F.col("label") == 1) | (F.col("__n") <= times * F.col("__p")))
+    return kept.drop("__n", "__p", "__g")
 
 
 def tail_split(rows: DataFrame, source: str, order: str, ratio: float = 0.1) -> DataFrame:
     """Adds split: the last int(ratio * n) rows of each source are ``valid``; where that is none, none are."""
-    w = Window.partitionBy(source)
-    at = F.row_number().over(w.orderBy(order))
-    n = F.count("*").over(w)
-    return rows.withColumn("split", F.when(at > n - F.floor(n * F.lit(ratio)), "valid").otherwise("train"))
+    n = rows.groupBy(F.col(source).alias("__g")).agg(F.count("*").alias("__n"))
+    ranked = ranked_in(rows, [source], [F.col(order)], "__at").join(n, F.col(source).eqNullSafe(F.col("__g")))
+    tail = F.col("__at") > F.col("__n") - F.floor(F.col("__n") * F.lit(ratio))
+    return ranked.withColumn("split", F.when(tail, "valid").otherwise("train")).drop("__at", "__n", "__g")
 
 
 def recall(gold: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,9 +55,7 @@ def preference_mask(positive: Column, hard: Column, easy: Column, margin: float
 def ndcg(rows: DataFrame, group: str, score: str, label: str, key: str, k: int = 10) -> DataFrame:
     """(group, ndcg): discounted gains of the k best-scored rows against the best order; 0 without a gain."""
     gain = F.pow(F.lit(2.0), F.col(label)) - 1
-    by_score = F.row_number().over(Window.partitionBy(group).orderBy(F.col(score).desc(), key))
-    by_label = F.row_number().over(Window.partitionBy(group).orderBy(F.col(label).desc(), key))
-    r = rows.withColumn("__s", by_score).withColumn("__l", by_label)
+    r = ranked_in(ranked_in(rows, [group], [F.col(score).desc(), F.col(key)], "__s"), [group], [F.col(label).desc(), F.col(key)], "__l")
     part = lambda c: F.sum(F.when(F.col(c) <= k, gain / F.log2(F.col(c) + 1)).otherwise(0.0))
     return r.groupBy(group).agg(part("__s").alias("got"), part("__l").alias("best")).select(group, F.round(F.when(F.col("best") > 0, F.col("got") / F.col("best")).otherwise(0.0), 6).alias("ndcg"))
 
@@ -73,8 +73,7 @@ def boosted_ranker(rows: DataFrame, features: list[str], label: str, rounds: int
 def fill_quotas(rows: DataFrame, size: int) -> DataFrame:
     """Exactly ``size`` rows (or all): those of kind high first, then query and neighbour rows that share what is left
     in half, the odd one to neighbours, shortfalls going to the other side. rows: id, kind, score."""
-    w = Window.partitionBy("kind").orderBy(F.col("score").desc(), "id")
-    ranked = rows.withColumn("__n", F.row_number().over(w))
+    ranked = ranked_in(rows, ["kind"], [F.col("score").desc(), F.col("id")], "__n")
     have = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     high, query, near = (have.get(k, 0) for k in ("high", "query", "neighbour"))
     left = max(0, size - high)

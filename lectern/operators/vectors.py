@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of the side that every task holds; 64 MB at 64 dimensions.
-MOST_HELD = 131_072
+#: Vectors of a block, the part of a side that a task holds; a cell's similarities take 32 MB.
+BLOCK = 2_048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,55 +29,99 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(F.sqrt(dot(v, v)) == 0, 1.0).otherwise(F.sqrt(dot(v, v))))
 
 
-def _held(side: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
-    """The keys, in order, and unit vectors of a side that is checked to be small."""
-    rows = side.select(key, vector).limit(MOST_HELD + 1).collect()
-    if len(rows) > MOST_HELD:
-        raise ValueError(f"over {MOST_HELD} vectors on the held side; deal them out in blocks")
-    rows = sorted(rows, key=lambda r: r[0])
-    m = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
-    norm = np.linalg.norm(m, axis=1, keepdims=True) if len(rows) else np.ones((0, 1))
-    return [r[0] for r in rows], m / np.where(norm == 0, 1, norm)
+def _matrix(vectors) -> np.ndarray:
+    """Unit vectors as rows; a zero vector stays."""
+    m = np.stack([np.asarray(v, float) for v in vectors]) if len(vectors) else np.zeros((0, 1))
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
+
+
+def blocks(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
+    """(key, v, block, rows' key and vector) dealt by hash into blocks of about BLOCK vectors, and how many there are."""
+    n = max(1, -(-rows.count() // BLOCK))
+    return rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block")), n
 
 
-def best_match(rows: DataFrame, key: str, vector: str, side: DataFrame, side_key: str, side_vector: str, key_type: str = "long") -> DataFrame:
-    """(key, match, similarity): for each row the most similar of a small side's vectors, the first key of equals.
+def met(rows: DataFrame, key: str, vector: str, side: DataFrame, side_key: str, side_vector: str, made, schema: str) -> DataFrame:
+    """``made(keys, similarities, side keys)`` for every block of rows against every block of the side.
 
-    The held side is sent to all tasks after a check of its size; rows stream past it in blocks, one matrix product
-    each. An empty side gives null matches.
+    Each cell, a block of either, is one group: no task holds more than two blocks, nothing reaches the driver, and
+    rows go to as many cells as the other side has blocks. Similarities are rounded to nine places.
     """
-    keys, held = _held(side, side_key, side_vector)
-    shared = rows.sparkSession.sparkContext.broadcast((keys, held))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m = shared.value
-        for f in frames:
-            if not len(f) or not len(ids):
-                yield pd.DataFrame({key: f[key], "match": pd.Series([None] * len(f), dtype="object"), "similarity": pd.Series([None] * len(f), dtype="object")})
-                continue
-            x = np.stack([np.asarray(v, float) for v in f[vector]])
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            sim = np.round((x / np.where(n == 0, 1, n)) @ m.T, 9)
-            at = sim.argmax(1)
-            yield pd.DataFrame({key: f[key], "match": [ids[i] for i in at], "similarity": sim[np.arange(len(f)), at]})
-
-    kinds = dict(side.dtypes)
-    return rows.select(key, vector).mapInPandas(run, f"{key} {key_type}, match {kinds[side_key]}, similarity double")
-
-
-def count_above(rows: DataFrame, vector: str, side: DataFrame, side_key: str, threshold: float) -> DataFrame:
+    left, m = blocks(rows, key, vector)
+    right, n = blocks(side, side_key, side_vector)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = left.select("key", "v", F.col("block").alias("i"), every(n).alias("j"))
+    b = right.select("key", "v", every(m).alias("i"), F.col("block").alias("j"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x, y = x.sort_values("key"), y.sort_values("key")
+        if not len(x) or not len(y):
+            return made(x["key"].to_numpy()[:0], np.zeros((0, 0)), y["key"].to_numpy()[:0])
+        return made(x["key"].to_numpy(), np.round(_matrix(x["v"]) @ _matrix(y["v"]).T, 9), y["key"].to_numpy())
+
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, schema)
+
+
+def best_match(rows: DataFrame, key: str, vector: str, side: DataFrame, side_key: str, side_vector: str) -> DataFrame:
+    """(key, match, similarity): for each row the most similar of a side's vectors, the first key of equals.
+
+    The side may be of any size. A row of an empty side has a null match.
+    """
+    def best(keys, sim, others) -> pd.DataFrame:
+        at = sim.argmax(1) if sim.size else np.zeros(0, int)
+        return pd.DataFrame({"key": keys[: len(at)], "match": others[at], "similarity": sim[np.arange(len(at)), at] if len(at) else np.zeros(0)})
+
+    kinds, own = dict(side.dtypes), dict(rows.dtypes)
+    part = met(rows, key, vector, side, side_key, side_vector, best, f"key {own[key]}, match {kinds[side_key]}, similarity double")
+    top = part.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match")).alias("m"))
+    found = top.select(F.col("key").alias(key), F.col("m.match").alias("match"), (-F.col("m.s")).alias("similarity"))
+    return rows.select(key).join(found, key, "left")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query, key, similarity): the k most similar rows of each query, the first keys of equals; itself counts too."""
+    def top(keys, sim, others) -> pd.DataFrame:
+        out = []
+        for i, q in enumerate(keys):
+            at = np.lexsort((others, -sim[i]))[:k]
+            out.append(pd.DataFrame({"query": q, "key": others[at], "similarity": sim[i, at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": keys, "key": others, "similarity": np.zeros(0)})
+
+    kind = dict(rows.dtypes)[key]
+    part = met(queries, key, vector, rows, key, vector, top, f"query {kind}, key {kind}, similarity double")
+    # at most k rows of a query for each block of rows; the best k of them by one array for each query
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "key"))), 1, k)
+    flat = part.groupBy("query").agg(best.alias("b")).select("query", F.explode("b").alias("b"))
+    return flat.select("query", F.col("b.key").alias(key), (-F.col("b.s")).alias("similarity"))
+
+
+def similarities(queries: DataFrame, rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(query, key, similarity) of every query and every row: as many rows as the two sides multiply to."""
+    def every(keys, sim, others) -> pd.DataFrame:
+        return pd.DataFrame({"query": np.repeat(keys, len(others)), "key": np.tile(others, len(keys)), "similarity": sim.reshape(-1)})
+
+    kind = dict(rows.dtypes)[key]
+    return met(queries, key, vector, rows, key, vector, every, f"query {kind}, key {kind}, similarity double").withColumnRenamed("key", key)
+
+
+def count_above(rows: DataFrame, key: str, vector: str, side: DataFrame, threshold: float) -> DataFrame:
     """One row, pairs long: entries of the matrix rows x side above the threshold, self pairs and both orders included."""
-    _, held = _held(side, side_key, vector)
-    shared = rows.sparkSession.sparkContext.broadcast(held)
+    def count(keys, sim, others) -> pd.DataFrame:
+        return pd.DataFrame({"n": [int((sim > threshold).sum())]})
+
+    return met(rows, key, vector, side, key, vector, count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f) and len(shared.value):
-                x = np.stack([np.asarray(v, float) for v in f[vector]])
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                yield pd.DataFrame({"n": [int((np.round((x / np.where(n == 0, 1, n)) @ shared.value.T, 9) > threshold).sum())]})
+def keep_share(rows: DataFrame, group: list[str], score: str, key: str, share: float) -> DataFrame:
+    """Of each group the ``ceil(share * n)`` rows with the highest scores (one at least), the first keys of equals.
+
+    A group may have any number of rows: places come from one range sort.
+    """
+    from lectern.operators.ranks import ranked_in
 
-    return rows.select(vector).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    n = rows.groupBy(*group).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(share))).cast("long").alias("__quota"))
+    return ranked_in(rows, group, [F.col(score).desc(), F.col(key)], "__place").join(n, group).where("__place <= __quota").drop("__place", "__quota")
 
 
 def coverage_status(similarity: Column, weak: float = 0.45, covered: float = 0.55) -> Column:

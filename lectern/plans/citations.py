@@ -76,7 +76,7 @@ def pagerank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, p, o = (F.concat(F.lit(k), F.col(c).cast("string")) for k, c in (("s", "l_suppkey"), ("p", "l_partkey"), ("o", "l_orderkey")))
     edges = lines.select(s.alias("src"), p.alias("dst")).union(lines.select(p, o)).distinct()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return C.pagerank(edges, nodes, rounds=8).select("node", F.round("rank", 8).alias("rank"))
+    return C.pagerank(edges, nodes, rounds=8, tolerance=0).select("node", F.round("rank", 8).alias("rank"))
 
 
 _YEARS = "y AS (SELECT o_custkey AS c, year(o_orderdate) AS y, count(*)::BIGINT AS n FROM orders GROUP BY ALL), t AS (SELECT c, sum(n)::BIGINT AS total, (SELECT max(y) - 1 FROM y) AS cutoff, array_agg({'y': y, 'n': n}) AS years FROM y GROUP BY c)"

@@ -9,6 +9,7 @@ from lectern.functions import scalars as M
 from lectern.functions import text as X
 from lectern.operators import dedup
 from lectern.operators.graph import connected_components
+from lectern.operators.ranks import ranked_in
 from lectern.plans.catalog import register
 from lectern.session import checkpointed, table
 
@@ -34,7 +35,7 @@ def normalized_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SIG = ", ".join(f"min((h * {a} + {b}) % {dedup.PRIME})::BIGINT AS m{i}" for i, (a, b) in enumerate(dedup.coefficients()))
 _NAMES = [f"m{i}" for i in range(dedup.HASHES)]
-_SIGNED = f"""tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+', 0)) AS t FROM documents),
+_SIGNED = rf"""tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+', 0)) AS t FROM documents),
 sig AS MATERIALIZED (SELECT doc_id, {_SIG} FROM (SELECT doc_id, concat('0x', substr(md5(t), 1, 7))::BIGINT AS h FROM tok) GROUP BY doc_id)"""
 _BANDS = " UNION ALL ".join(
     f"SELECT doc_id, {b // dedup.BAND} AS band, concat_ws('-', {', '.join(f'm{i}' for i in range(b, b + dedup.BAND))}) AS value FROM SRC" for b in range(0, dedup.HASHES, dedup.BAND)
@@ -49,8 +50,7 @@ pairs AS MATERIALIZED (SELECT a, b, ({_EQUAL})::DOUBLE / {dedup.HASHES} AS agree
 
 
 def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    return dedup.signatures(_docs(spark, sf_dir), "doc_id", tokens)
+    return dedup.signatures(_docs(spark, sf_dir), "doc_id", X.words(F.col("text")))
 
 
 @register("minhash_bands", f"WITH {_SIGNED} SELECT * FROM ({_BANDS.replace('SRC', 'sig')})")
@@ -253,7 +253,6 @@ def quota_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = base.withColumn("k", F.row_number().over(one)).withColumn("m", F.count("*").over(every)).withColumn("off", _QUOTA - F.sum("base").over(every))
     turns = F.floor(F.abs("off") / F.col("m")) + (F.col("k") <= F.abs("off") % F.col("m")).cast("long")
     quota = ranked.select("source", F.greatest(F.lit(1), F.col("base") + F.signum("off").cast("long") * turns).alias("quota"))
-    placed = docs.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")).cast("long"))
-    kept = placed.join(quota, "source").where("place <= quota")
-    # the longest of all is kept: every source has a place
-    return kept.withColumn("score", F.round(0.3 * F.col("n_chars") / F.max("n_chars").over(every) + 0.7, 6)).select("doc_id", "source", "place", "score")
+    kept = ranked_in(docs, ["source"], [F.col("n_chars").desc(), F.col("doc_id")], "place").join(quota, "source").where("place <= quota")
+    most = docs.agg(F.max("n_chars").alias("most"))
+    return kept.join(F.broadcast(most)).withColumn("score", F.round(0.3 * F.col("n_chars") / F.col("most") + 0.7, 6)).select("doc_id", "source", "place", "score")

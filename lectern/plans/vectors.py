@@ -12,7 +12,8 @@ from lectern.session import table
 _NORM = "CASE WHEN sqrt(list_dot_product(v, v)) = 0 THEN 1 ELSE sqrt(list_dot_product(v, v)) END"
 _SRC = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 _UNIT = f"u AS (SELECT vec_id, label, [x / ({_NORM}) FOR x IN v] AS v FROM e)"
-_QUERY = "q AS (SELECT v AS qv FROM u WHERE vec_id = (SELECT min(vec_id) FROM u))"
+# Queries: every vector whose id is divisible by 20.
+_SIMS = "s AS (SELECT q.vec_id AS query, u.vec_id, round(list_dot_product(u.v, q.v), 9) AS sim FROM u, u q WHERE q.vec_id % 20 = 0)"
 _TOPICS = """dims AS (SELECT label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM e),
 topics AS (SELECT label, array_agg(x ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS x FROM dims GROUP BY label, i) GROUP BY label),
 ut AS (SELECT label AS topic, [x / (CASE WHEN sqrt(list_dot_product(v, v)) = 0 THEN 1 ELSE sqrt(list_dot_product(v, v)) END) FOR x IN v] AS tv FROM topics)"""
@@ -22,37 +23,28 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
-def _query(e: DataFrame) -> list[float]:
-    """The first vector, as the query that the others are ranked against."""
-    return [float(x) for x in e.orderBy("vec_id").select("embedding").first()[0]]
-
-
 def _topics(e: DataFrame) -> DataFrame:
     flat = e.select("label", F.posexplode("embedding").alias("i", "x"))
     means = flat.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
 
 
-@register("cosine_topk", f"WITH {_SRC}, {_UNIT}, {_QUERY} SELECT vec_id, round(list_dot_product(v, qv), 6) AS similarity FROM u, q ORDER BY round(list_dot_product(v, qv), 9) DESC, vec_id LIMIT 50")
+def _queries(e: DataFrame) -> DataFrame:
+    return e.where("vec_id % 20 = 0")
+
+
+@register("cosine_topk", f"WITH {_SRC}, {_UNIT}, {_SIMS} SELECT query, vec_id, round(sim, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) <= 10")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 vectors nearest to the query."""
+    """The ten vectors nearest to each query, itself included."""
     e = _vectors(spark, sf_dir)
-    q = F.array(*[F.lit(x) for x in _query(e)])
-    sim = V.cosine(F.col("embedding"), q)
-    return e.select("vec_id", F.round(sim, 9).alias("s")).orderBy(F.col("s").desc(), "vec_id").limit(50).select("vec_id", F.round("s", 6).alias("similarity"))
+    return V.nearest(_queries(e), e, "vec_id", "embedding", 10).select("query", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@register(
-    "query_keep_ratio",
-    f"WITH {_SRC}, {_UNIT}, {_QUERY}, r AS (SELECT vec_id, row_number() OVER (ORDER BY round(list_dot_product(v, qv), 9) DESC, vec_id) AS k, count(*) OVER () AS n FROM u, q) SELECT vec_id FROM r WHERE k <= greatest(1, ceil(0.3 * n))",
-)
+@register("query_keep_ratio", f"WITH {_SRC}, {_UNIT}, {_SIMS} SELECT query, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) <= greatest(1, ceil(0.3::DOUBLE * count(*) OVER (PARTITION BY query)))")
 def query_keep_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 30 % of vectors most similar to the query, at least one."""
+    """The 30 % of vectors most similar to each query, at least one."""
     e = _vectors(spark, sf_dir)
-    q = F.array(*[F.lit(x) for x in _query(e)])
-    n = e.count()
-    ranked = e.select("vec_id", F.round(V.cosine(F.col("embedding"), q), 9).alias("s")).orderBy(F.col("s").desc(), "vec_id")
-    return ranked.limit(max(1, -(-3 * n // 10))).select("vec_id")
+    return V.keep_share(V.similarities(_queries(e), e, "vec_id", "embedding"), ["query"], "similarity", "vec_id", 0.3).select("query", "vec_id")
 
 
 _BEST = f"WITH {_SRC}, {_UNIT}, {_TOPICS}, s AS (SELECT vec_id, label, topic, round(list_dot_product(v, tv), 9) AS sim FROM u, ut), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, topic) = 1)"
@@ -63,29 +55,10 @@ _BEST = f"WITH {_SRC}, {_UNIT}, {_TOPICS}, s AS (SELECT vec_id, label, topic, ro
     f"WITH {_SRC}, {_UNIT}, {_TOPICS}, s AS (SELECT topic, vec_id, round(list_dot_product(v, tv), 9) AS sim FROM u, ut), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY topic ORDER BY sim DESC, vec_id) = 1) SELECT topic, vec_id AS best_match, round(sim, 6) AS similarity, CASE WHEN sim < 0.45 THEN 'missing' WHEN sim > 0.55 THEN 'covered' ELSE 'weakly covered' END AS status FROM b",
 )
 def topic_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each topic's nearest vector and whether that covers it; topics, a row for each label, meet the rows in blocks."""
+    """Each topic's nearest vector and whether that covers it."""
     e = _vectors(spark, sf_dir)
-    topics = _topics(e)
-    keys, held = V._held(topics, "label", "v")
-    shared = spark.sparkContext.broadcast((keys, held))
-
-    def best(frames):
-        import numpy as np
-        import pandas as pd
-
-        ids, m = shared.value
-        for f in frames:
-            if len(f) and len(ids):
-                x = np.stack([np.asarray(v, float) for v in f["embedding"]])
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                sim = np.round((x / np.where(n == 0, 1, n)) @ m.T, 9)
-                order = np.argsort(f["vec_id"].to_numpy(), kind="stable")
-                at = order[sim[order].argmax(0)]
-                yield pd.DataFrame({"topic": ids, "vec_id": f["vec_id"].to_numpy()[at], "sim": sim[at, np.arange(len(ids))]})
-
-    part = e.select("vec_id", "embedding").mapInPandas(best, f"topic {dict(e.dtypes)['label']}, vec_id long, sim double")
-    top = part.groupBy("topic").agg(F.max(F.struct("sim", (-F.col("vec_id")).alias("low"))).alias("m"))
-    return top.select("topic", (-F.col("m.low")).alias("best_match"), F.round("m.sim", 6).alias("similarity"), V.coverage_status(F.col("m.sim")).alias("status"))
+    best = V.best_match(_topics(e), "label", "v", e, "vec_id", "embedding")
+    return best.select(F.col("label").alias("topic"), F.col("match").alias("best_match"), F.round("similarity", 6).alias("similarity"), V.coverage_status(F.col("similarity")).alias("status"))
 
 
 def _best(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -128,9 +101,16 @@ def missing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(cited, "vec_id", "left_anti").select("vec_id", F.round("similarity", 6).alias("topic_similarity"))
 
 
-@register("similar_pair_count", f"WITH {_SRC}, {_UNIT}, {_TOPICS} SELECT count(*)::BIGINT AS pairs FROM u, ut WHERE round(list_dot_product(v, tv), 9) > 0.3")
+@register("similar_pair_count", f"WITH {_SRC}, {_UNIT}, {_SIMS} SELECT count(*)::BIGINT AS pairs FROM s WHERE sim > 0.3")
 def similar_pair_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the vectors x topics matrix above a bound."""
+    """Entries above a bound of the matrix of queries and all vectors, self pairs included."""
+    e = _vectors(spark, sf_dir)
+    return V.count_above(_queries(e), "vec_id", "embedding", e, 0.3)
+
+
+@register("max_similarity", f"WITH {_SRC}, {_UNIT}, {_SIMS} SELECT vec_id, round(max(sim), 6) AS similarity FROM s GROUP BY vec_id")
+def max_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity to the nearest of the accepted vectors, those whose id is divisible by 20."""
     e = _vectors(spark, sf_dir)
-    topics = _topics(e).withColumnRenamed("v", "embedding")
-    return V.count_above(e, "embedding", topics, "label", 0.3)
+    best = V.best_match(e, "vec_id", "embedding", _queries(e), "vec_id", "embedding")
+    return best.select("vec_id", F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,16 +25,28 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str, schema: str, start: int = 0) -> DataFrame:
     """(file, index, columns): lines of each file numbered in file order from 0, blank ones counted but left out, from
-    ``start`` on. Lines carry their offset, so no task has to see all files."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("index", "line"))
-    rows = text.where((F.trim("line") != "") & (F.col("index") >= start)).select("file", "index", F.from_json("line", schema).alias("r"))
-    return rows.select("file", "index", "r.*")
+    ``start`` on.
+
+    A file may be of any size: it is read in splits, whose lines are counted first; one count for each split reaches
+    the driver, and a line's number is its place in its split after the lines of the splits before.
+    """
+    at = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("split"), F.monotonically_increasing_id().alias("row"), "value")
+    first = lines.groupBy("file", "split").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = {}
+    total: dict[str, int] = {}
+    for r in sorted(first.collect(), key=lambda r: (r["file"], r["split"])):
+        before[r["file"], r["split"]] = (r["first"], total.get(r["file"], 0))
+        total[r["file"]] = total.get(r["file"], 0) + r["n"]
+    known = spark.createDataFrame([(f, s, x, b) for (f, s), (x, b) in before.items()], "file string, split long, first long, before long")
+    rows = lines.join(F.broadcast(known), ["file", "split"]).withColumn("index", F.col("row") - F.col("first") + F.col("before"))
+    rows = rows.where((F.trim("value") != "") & (F.col("index") >= start))
+    return rows.select("file", "index", F.from_json("value", schema).alias("r")).select("file", "index", "r.*")
 
 
 def by_key(df: DataFrame, key: Column, order: Column) -> DataFrame:
-    """The last row of each key in the given order."""
-    w = Window.partitionBy("__key").orderBy(order.desc())
-    return df.withColumn("__key", key).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__key")
+    """The last row of each key in the given order; rows are compared before they are dealt out, so a key may have any number."""
+    return df.groupBy(key.alias("__key")).agg(F.max_by(F.struct(*df.columns), order).alias("__r")).select("__r.*")
 
 
 def at_index(df: DataFrame, index: str, wanted: object) -> DataFrame:

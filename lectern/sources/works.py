@@ -83,7 +83,7 @@ def source(backend: Backend, name: str = "works", schema: str = WORK, size: int
             return schema
 
         def reader(self, schema) -> DataSourceReader:
-            return _Reader(backend, names, size)
+            return _Reader(backend, [f.name for f in schema.fields] if hasattr(schema, "fields") else names, size)
 
     return Works
 
@@ -102,6 +102,20 @@ def normalized_works(raw: DataFrame) -> DataFrame:
     ).where(F.coalesce("title", F.lit("")) != "")
 
 
+def autocomplete(records: DataFrame, title: str, prefix: str, weight: str, key: str, most: int = 10) -> DataFrame:
+    """The heaviest records whose title starts with the prefix, whatever its case."""
+    return records.where(F.startswith(F.lower(title), F.lit(prefix.lower()))).orderBy(F.col(weight).desc(), key).limit(most)
+
+
+def searched(records: DataFrame, columns: Sequence[str], terms: str) -> DataFrame:
+    """Records that hold every word of ``terms`` in one of the columns; further filters and columns reach the scan."""
+    text = F.lower(F.concat_ws(" ", *columns))
+    out = records
+    for term in terms.lower().split():
+        out = out.where(F.contains(text, F.lit(term)))
+    return out
+
+
 def first_success(attempts: DataFrame, key: str, order: str, ok: str) -> DataFrame:
     """Of each key's attempts the first that succeeded."""
     good = attempts.where(ok)
