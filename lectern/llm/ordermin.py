@@ -47,18 +47,15 @@ def kmers(points: np.ndarray) -> np.ndarray:
 def numbered(hashes: np.ndarray) -> np.ndarray:
     """How many equal hashes came before each."""
     n = len(hashes)
-    if n < 1 << 24:
-        # the position in the low bits: equal k-mers end up side by side, in text order
-        packed = np.sort((hashes & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64))
-        at, top = (packed & np.uint64(0xFFFFFF)).astype(np.int64), packed >> np.uint64(24)
-    else:
-        at = np.argsort(hashes, kind="stable")
-        top = hashes[at]
+    at = np.argsort(hashes)
+    top = hashes[at]
     first = np.ones(n, bool)
     first[1:] = top[1:] != top[:-1]
     begin = np.flatnonzero(first)
+    # runs of equal hashes in order, each run's places in text order
+    place = np.sort(((np.cumsum(first) - 1).astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)) & np.uint64(0xFFFFFFFF)
     out = np.empty(n, np.int64)
-    out[at] = np.arange(n) - np.repeat(begin, np.diff([*begin, n]))
+    out[place.astype(np.int64)] = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
     return out
 
 
@@ -132,42 +129,79 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+class _Blocks:
+    """Blocks of neighbours: keys between bounds; a key of many rows makes blocks of its own, by ranges of ``spot``."""
+
+    def __init__(self, bounds: np.ndarray, heavy: dict[int, int]) -> None:
+        self.bounds, self.heavy = bounds, heavy
+
+    def locate(self, keys: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's block and, for heavy keys, which of the key's own."""
+        block, own = np.searchsorted(self.bounds, keys), np.zeros(len(keys), np.int64)
+        if self.heavy:
+            for key in set(keys.tolist()) & self.heavy.keys():
+                at = np.flatnonzero(keys == key)
+                share = (spots[at].astype(float) + 2.0**63) / 2.0**64
+                own[at] = np.minimum((share * self.heavy[key]).astype(np.int64), self.heavy[key] - 1)
+        return block, own
+
+    def heads(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's first row in a batch: the largest key, then the smallest spot."""
+        for f in batches:
+            keys, spots = f.column("key").to_numpy(), f.column("spot").to_numpy()
+            block, own = self.locate(keys, spots)
+            order = np.lexsort((spots, ~keys, own, block))
+            edge = np.ones(len(order), bool)
+            edge[1:] = (block[order][1:] != block[order][:-1]) | (own[order][1:] != own[order][:-1])
+            at = order[edge]
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (block.astype(np.int64), own, ~keys, spots)], ["block", "own", "low", "spot"])
+
+
 def fingerprints(docs: DataFrame, rows_per_block: int = 256, most_blocks: int = 20_000) -> DataFrame:
     """For each row: doc_id, n_chars long, edited_sha256, fingerprint, edited_fingerprint string, near_edited, near_next double.
 
     The next document is the one with the next smaller doc_id; after the smallest comes the largest. Null doc_ids
     come last, rows with equal doc_ids follow one another by a hash of the text. Null texts count as empty; an empty
     text's fingerprint is all zeros, and two empty texts have a likeness of 1. A table of one row is its own next.
-    An empty table gives an empty one. Other columns aren't read.
+    An empty table gives an empty one. A very long text is sketched whole. Other columns aren't read.
 
-    Quantiles of doc_id cut the table into blocks of neighbours (at most ``most_blocks``, whose bounds the driver
-    holds); each text goes once to its block, and each block's first text also to the block before it. Tasks stream
-    their rows in order.
+    Quantiles of doc_id cut the table into blocks of neighbours (about ``most_blocks`` at most, whose bounds the driver
+    holds); a doc_id, or null, that many rows share makes blocks by the texts' hashes. Each text goes once to its
+    block, and each block's first text also to the block before it. Tasks stream their rows in order.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
-    blocks = max(1, min(most_blocks, -(-slim.count() // rows_per_block)))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"), F.xxhash64("text").alias("spot"))
+    rows = slim.count()
+    blocks = max(1, min(most_blocks, -(-rows // rows_per_block)))
+    each = max(rows_per_block, -(-rows // blocks))
     shares = [i / blocks for i in range(1, blocks + 1)]
     found = slim.select(F.percentile_approx("key", shares, max(10_000, 4 * blocks)), F.max("key")).first()
-    bounds = np.array(sorted({*(found[0] or []), *([] if found[1] is None else [found[1]])}), np.int64)
-    top = max(0, len(bounds) - 1)
+    heavy = {r["key"]: -(-r["n"] // each) for r in slim.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * each).collect()}
+    bounds = {*(found[0] or []), *([] if found[1] is None else [found[1]]), *heavy, *(k - 1 for k in heavy if k > -(2**63))}
+    cut = _Blocks(np.array(sorted(bounds), np.int64), heavy)
+    first = slim.select("key", "spot").mapInArrow(cut.heads, "block long, own long, low long, spot long")
+    first = first.groupBy("block", "own").agg(F.min(F.struct("low", "spot")).alias("m"))
+    # in document order: keys fall, a key's own blocks rise
+    heads = sorted((-r["block"], r["own"], ~r["m"]["low"], r["m"]["spot"]) for r in first.collect())
+    place = {(-b, o): i for i, (b, o, _, _) in enumerate(heads)}
+    head_key, head_spot = (np.array([h[i] for h in heads], np.int64) for i in (2, 3))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in batches:
-            ids = f.column("key").to_numpy()
-            at = np.searchsorted(bounds, ids)
-            head = bounds[np.minimum(at, top)] == ids
-            # every block's first text also closes the block above it, and the very first one the lowest block
-            rows = np.concatenate([np.arange(len(ids)), np.flatnonzero(head)])
-            block = np.concatenate([at, np.where(at == top, 0, at + 1)[head]]).astype(np.int32)
-            tail = np.arange(len(rows)) >= len(ids)
+            keys, spots = f.column("key").to_numpy(), f.column("spot").to_numpy()
+            at = np.array([place[p] for p in zip(*(x.tolist() for x in cut.locate(keys, spots)), strict=True)], np.int64)
+            head = (head_key[at] == keys) & (head_spot[at] == spots) if len(at) else np.zeros(0, bool)
+            # every block's first text also closes the block before it, and the very first one the last block
+            rows = np.concatenate([np.arange(len(keys)), np.flatnonzero(head)])
+            block = np.concatenate([at, (at[head] - 1) % max(1, len(heads))]).astype(np.int32)
+            tail = np.arange(len(rows)) >= len(keys)
             taken = f.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([pa.array(block), *taken.columns, pa.array(tail)], ["block", *taken.schema.names, "tail"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = slim.mapInArrow(placed, "block int, doc_id long, text string, key long, tail boolean")
-    share = F.least(F.floor(F.col("block") * F.lit(n) / F.lit(top + 1)), F.lit(n - 1)).cast("int")
+    dealt = slim.mapInArrow(placed, "block int, doc_id long, text string, key long, spot long, tail boolean")
+    share = F.least(F.floor(F.col("block") * F.lit(n) / F.lit(max(1, len(heads)))), F.lit(n - 1)).cast("int")
     dealt = dealt.repartitionById(n, share)
-    dealt = dealt.sortWithinPartitions("block", "tail", F.col("key").desc(), F.xxhash64("text")).select("block", "doc_id", "text", "tail")
+    dealt = dealt.sortWithinPartitions("block", "tail", F.col("key").desc(), "spot").select("block", "doc_id", "text", "tail")
     return dealt.mapInArrow(_paired, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -178,6 +178,18 @@ def test_next_and_edited_texts(spark, edges):
     assert ordermin.fingerprints(table(spark, edges)).count() == len(edges)
 
 
+def test_many_rows_of_one_id(spark):
+    """A doc_id, or null, that many rows share is cut into several blocks; the order is by a hash of the text."""
+    rng = random.Random(12)
+    rows = [(None if i % 2 else 7, words(rng, 6), None, None) for i in range(120)] + [(i, words(rng, 6), None, None) for i in (1, 2, 9)]
+    docs = table(spark, rows)
+    spots = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), spots[r[1]]))
+    want = [(i, ordermin.text_of(ordermin.sketch(t)), ordermin.likeness(ordermin.sketch(t), ordermin.sketch(order[(k + 1) % len(order)][1]))) for k, (i, t, *_) in enumerate(order)]
+    got = ordermin.fingerprints(docs, rows_per_block=8).collect()
+    assert sorted(((r.doc_id, r.fingerprint, r.near_next) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def slow_sketch(text):
     """The tuples by plain loops."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
