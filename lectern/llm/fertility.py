@@ -4,6 +4,8 @@ A public vocabulary encodes every word of a text. Three figures follow: characte
 are single bytes of characters the vocabulary lacks, and the entropy of the text's tokens as a share of the most that
 so many tokens can have. For each language (the ``lang`` column, else the main script of the letters) the quartiles of
 each figure over all texts that pass the base rules give a band; a text outside its language's band is rejected.
+Quartiles are exact for figures rounded to three places, from a count of each. A language's quartiles are drawn
+towards those of all texts, as if it had ``PRIOR`` more texts of theirs, so rare languages have bands near the common one.
 
 Words are encoded one by one, so a worker may keep what it knows about words; the figures don't depend on that store.
 """
@@ -11,11 +13,11 @@ Words are encoded one by one, so a worker may keep what it knows about words; th
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.text_arrays import chunks, shingles, utf8, word_hashes
@@ -26,8 +28,12 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 REACH = 2.75
 #: Of short texts, whose figures vary more, the distance grows by this over the root of the number of words.
 SHORT = 4.0
-#: A language with fewer texts than this uses the band over all texts.
-LEAST_TEXTS = 50
+#: Texts by whose weight a language's quartiles are drawn towards those of all texts.
+PRIOR = 50
+#: Languages whose bands are sent to all tasks; those of more are joined by a shuffle.
+MOST_BANDS = 10_000
+#: Places that figures are rounded to for the quartiles.
+_PLACES = 3
 #: Words whose pieces a worker remembers.
 MOST_WORDS = 1_000_000
 WINDOW = 8
@@ -186,41 +192,55 @@ def measure(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, ...]
     return out.withColumn("base_failed", failed).withColumn("band", F.coalesce("__lang", "script")).drop("__lang", "script")
 
 
-def judge(measured: DataFrame, reach: float = REACH, least: int = LEAST_TEXTS) -> DataFrame:
+def quartiles(good: DataFrame, figures: Sequence[str]) -> DataFrame:
+    """(band, figure, n, q1, q3): exact quartiles of the rounded figures of each band, and of all rows (band null).
+
+    Counts by value are taken before anything is dealt out; a band has as many values as thousandths that occur.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), F.round(c, _PLACES).alias("value")) for c in figures])).alias("c")
+    counted = good.select("band", cells).groupBy("band", "c.figure", "c.value").agg(F.count("*").alias("k"))
+    counted = counted.where("value IS NOT NULL")
+    every = counted.groupBy("figure", "value").agg(F.sum("k").alias("k")).select(F.lit(None).cast("string").alias("band"), "figure", "value", "k")
+    both = counted.where("band IS NOT NULL").select("band", "figure", "value", "k").union(every)
+    w = Window.partitionBy("band", "figure")
+    ranked = both.withColumn("upto", F.sum("k").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(w))
+    at = lambda share: F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * share), F.col("value")))
+    return ranked.groupBy("band", "figure").agg(F.first("n").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+
+
+def judge(measured: DataFrame, reach: float = REACH, prior: float = PRIOR) -> DataFrame:
     """``measured`` with kept boolean: false if base_failed, else whether all three figures lie in the band.
 
-    Bands reach ``reach`` quartile distances (more for short texts) beyond the quartiles of the texts that pass the base rules, language by
-    language; one row for each language reaches the driver. Characters per token have both ends, the byte share only
-    an upper one, the entropy only a lower one. Without any text that passes, nothing is kept.
+    Bands reach ``reach`` quartile distances (more for short texts) beyond the quartiles of the texts that pass the base
+    rules, language by language; one row for each language is joined, nothing reaches the driver. Characters per token
+    have both ends, the byte share only an upper one, the entropy only a lower one. Texts of a language of which none
+    passes are rejected by their base figures; without any text that passes, nothing is kept.
     """
     figures = tuple(LEAST_MARGIN)
-    good = measured.where(~F.col("base_failed"))
-    quartiles = [F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in figures]
-    own = good.groupBy("band").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= least).collect()
-    rest = good.agg(*quartiles).first()
-
-    def inside(row) -> Column:
-        ok = F.lit(True)
-        for c in figures:
-            if row[c] is None:
-                return F.lit(False)
-            q1, q3 = row[c]
-            margin = F.lit(max(reach * (q3 - q1), LEAST_MARGIN[c])) * (1 + F.lit(SHORT) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
-            if c != "token_entropy":
-                ok = ok & (F.col(c) <= q3 + margin)
-            if c != "byte_share":
-                ok = ok & (F.col(c) >= q1 - margin)
-        return ok
-
-    verdict = inside(rest)
-    for row in sorted(own, key=lambda r: r["band"]):
-        verdict = F.when(F.col("band") == row["band"], inside(row)).otherwise(verdict)
-    return measured.withColumn("kept", ~F.col("base_failed") & verdict)
+    found = checkpointed(quartiles(measured.where(~F.col("base_failed")), figures))
+    own, rest = found.where("band IS NOT NULL"), found.where("band IS NULL").select("figure", F.col("q1").alias("r1"), F.col("q3").alias("r3"))
+    own = own.join(F.broadcast(rest), "figure")  # as many rows as figures
+    weight = F.col("n") / (F.col("n") + F.lit(float(prior)))
+    drawn = own.select("band", "figure", *[(weight * F.col(q) + (1 - weight) * F.col(r)).alias(q) for q, r in (("q1", "r1"), ("q3", "r3"))])
+    bands = drawn.groupBy("band").agg(*[F.max(F.when(F.col("figure") == c, F.struct("q1", "q3"))).alias(f"of_{c}") for c in figures])
+    sent = bands.count() <= MOST_BANDS
+    out = measured.join(F.broadcast(bands) if sent else bands, "band", "left")
+    short = 1 + F.lit(SHORT) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    ok = F.lit(True)
+    for c in figures:
+        q1, q3 = F.col(f"of_{c}.q1"), F.col(f"of_{c}.q3")
+        margin = F.greatest(reach * (q3 - q1), F.lit(LEAST_MARGIN[c])) * short
+        if c != "token_entropy":
+            ok = ok & (F.col(c) <= q3 + margin)
+        if c != "byte_share":
+            ok = ok & (F.col(c) >= q1 - margin)
+    return out.select(*measured.columns, F.coalesce(~F.col("base_failed") & ok, F.lit(False)).alias("kept"))
 
 
 def quality(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ("doc_id",), lang: Column | None = None) -> DataFrame:
     """:func:`measure`, written to the checkpoint folder, then :func:`judge`.
 
-    All rows stay, repeated ones too; an empty table gives an empty one; only text and the language are read.
+    All rows stay, repeated ones too, with null doc_ids or equal ones; an empty table gives an empty one; a very long
+    text is measured whole; only text and the language are read. ``vocabulary`` is a path that every executor has.
     """
     return judge(checkpointed(measure(docs, vocabulary, keep, lang)))

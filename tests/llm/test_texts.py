@@ -287,7 +287,7 @@ def test_fertility_figures(spark, edges):
     model = sentencepiece.SentencePieceProcessor(model_file=fertility.VOCABULARY)
     rng = random.Random(8)
     line = words(rng, 9)
-    rows = [r for r in edges if r[0] is not None and r[0] != 51] + [(60, f"{line}\n{line}\n\n{line} #*$\n", "en", "a"), (61, "\U0001f600中 " * 30, "zh", "a")]
+    rows = [r for r in edges if r[0] is not None] + [(60, f"{line}\n{line}\n\n{line} #*$\n", "en", "a"), (61, "\U0001f600中 " * 30, "zh", "a")]
     out = fertility.quality(table(spark, rows), lang=F.col("lang")).collect()
     assert len(out) == len(rows)
     by = {r.doc_id: r for r in out}
@@ -310,6 +310,37 @@ def test_bands_reject_outliers(spark):
     assert not kept.pop(100) and sum(kept.values()) >= 78
 
 
+@pytest.mark.parametrize("sent", [10_000, 0])
+def test_bands_against_sorted_lists(spark, edges, monkeypatch, sent):
+    """kept, from figures sorted language by language."""
+    monkeypatch.setattr(fertility, "MOST_BANDS", sent)
+    rng = random.Random(31)
+    rows = [*edges, *[(200 + i, words(rng, rng.randint(5, 60)) + " x" * (i % 7), ("en", "de", None)[i % 3], "a") for i in range(90)]]
+    rows += [(300 + i, "\u4e2d\U0001f600" * (5 + i), "zh", "a") for i in range(30)]
+    measured = fertility.measure(table(spark, rows), lang=F.col("lang")).collect()
+    out = {tuple(r)[:-1]: r.kept for r in fertility.quality(table(spark, rows), lang=F.col("lang")).collect()}
+    good = [r for r in measured if not r.base_failed]
+
+    def quartile(some, name, share):
+        x = sorted(math.floor(r[name] * 1000 + 0.5) / 1000 for r in some)
+        return x[math.ceil(len(x) * share) - 1]
+
+    kept = {}
+    for r in measured:
+        own, ok = [g for g in good if g.band == r.band], not r.base_failed
+        for name, least in fertility.LEAST_MARGIN.items():
+            if not ok:
+                break
+            k = len(own) / (len(own) + fertility.PRIOR)
+            q1, q3 = (k * quartile(own, name, s) + (1 - k) * quartile(good, name, s) for s in (0.25, 0.75))
+            margin = max(fertility.REACH * (q3 - q1), least) * (1 + fertility.SHORT / math.sqrt(r.n_words))
+            ok &= (name == "token_entropy" or r[name] <= q3 + margin) and (name == "byte_share" or r[name] >= q1 - margin)
+        kept[tuple(r)] = ok
+    assert {k[0] for k in kept} == {k[0] for k in out}
+    assert sorted((k[:2], v) for k, v in kept.items() if k[0] is not None) == sorted((k[:2], v) for k, v in out.items() if k[0] is not None)
+    assert len(set(kept.values())) == 2
+
+
 # ------------------------------------------------------------------ toxicity
 
 
