@@ -197,106 +197,6 @@ def learn(docs: DataFrame, labels: DataFrame, learns: Column, most: int = SAMPLE
     return fit([(set(words), int(toxic > 0)) for _, toxic, words in rows], swap, identities, vocabulary)
 
 
-def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[w] for w in sorted(tokens(text) & self.weights.keys()))
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
-
-
-def strength(n: float, toxic: float, rate: float) -> float:
-    """Standard deviations by which a word's toxic rows differ from what the overall rate predicts."""
-    return (toxic - n * rate) / (n * rate * (1 - rate) + 1e-9) ** 0.5
-
-
-def terms(identities: Sequence[Sequence[str]] = IDENTITIES) -> set[str]:
-    return {t for kind in identities for t in kind}
-
-
-def choose(counts: dict[str, tuple[int, int]], rate: float, identities: Sequence[Sequence[str]] = IDENTITIES, most: int = WORDS) -> list[str]:
-    """The vocabulary from each word's (rows, toxic rows): the ``most`` strongest words and all identity terms."""
-    strong = sorted((-abs(z), w) for w, (n, toxic) in counts.items() if n >= LEAST_DOCS and abs(z := strength(n, toxic, rate)) >= LEAST_Z)
-    return [*dict.fromkeys([*(w for _, w in strong[:most]), *sorted(terms(identities) & counts.keys())])]
-
-
-def fit(rows: Sequence[tuple[set[str], int]], swap: float = SWAP, identities: Sequence[Sequence[str]] = IDENTITIES, vocabulary: Sequence[str] | None = None) -> Model:
-    """Learns from (word set, label) pairs, in the order given; the same pairs give the same model.
-
-    Without ``vocabulary`` it is chosen from the pairs; with one, other words aren't looked at.
-    """
-    if not rows:
-        return Model({}, 0.0)
-    y = np.array([label for _, label in rows], float)
-    rate = (y.sum() + 0.5) / (len(y) + 1)
-    if vocabulary is None:
-        seen: dict[str, tuple[int, int]] = {}
-        for words, label in rows:
-            for w in words:
-                n, toxic = seen.get(w, (0, 0))
-                seen[w] = (n + 1, toxic + label)
-        vocabulary = choose(seen, rate, identities)
-    vocabulary = {w: i for i, w in enumerate(vocabulary)}
-    if not vocabulary:
-        return Model({}, float(np.log(rate / (1 - rate))))
-
-    def cells(sets: Sequence[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        at = [(i, vocabulary[w]) for i, s in enumerate(sets) for w in sorted(s & vocabulary.keys())]
-        return (np.array([a for a, _ in at], int), np.array([b for _, b in at], int))
-
-    row, col = cells([words for words, _ in rows])
-    pairs = [(words, other) for words, _ in rows for other in swapped(words, identities)]
-    prow, pcol = cells([a for a, _ in pairs])
-    qrow, qcol = cells([b for _, b in pairs])
-    weight = np.where(y > 0, TOXIC_WEIGHT, 1.0) / np.where(y > 0, TOXIC_WEIGHT, 1.0).sum()
-    w, b, n = np.zeros(len(vocabulary)), float(np.log(rate / (1 - rate))), len(rows)
-    m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for step in range(1, 601):
-        score = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col], n), -60, 60)))
-        off = (score - y) * weight
-        g = np.bincount(col, off[row], len(w)) + 2 * RIDGE * w
-        if pairs:
-            gap = np.bincount(prow, w[pcol], len(pairs)) - np.bincount(qrow, w[qcol], len(pairs))
-            g += 2 * swap / len(pairs) * (np.bincount(pcol, gap[prow], len(w)) - np.bincount(qcol, gap[qrow], len(w)))
-        g = np.append(g, off.sum())
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        move = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8) * min(1.0, 4 * (1 - step / 601))
-        w, b = w - move[:-1], b - float(move[-1])
-    return Model({x: float(w[i]) for x, i in vocabulary.items() if abs(w[i]) > 1e-4}, b, len(pairs))
-
-
-def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for f in batches:
-        made = pa.array([sorted(tokens(t)) for t in f.column("text").to_pylist()], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([f.column("doc_id"), f.column("toxic"), made], ["doc_id", "toxic", "words"])
-
-
-def learn(docs: DataFrame, labels: DataFrame, learns: Column, most: int = SAMPLE) -> Model:
-    """Fits the classifier on up to ``most`` labelled rows of ``docs`` where ``learns`` (over doc_id) holds.
-
-    A document's label is 1 if any of its labels is; null labels are left out. Spark counts the sample's words; the
-    driver gets the vocabulary, and of each sampled row the words that belong to it.
-    """
-    chosen = labels.where(learns & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # ``most`` ids and labels: 16 bytes each
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = checkpointed(texts.mapInArrow(_worded, "doc_id long, toxic int, words array<string>"))
-    n, n1 = sample.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
-    rate = (n1 + 0.5) / (n + 1)
-    counted = sample.select(F.explode("words").alias("word"), (F.col("toxic") > 0).cast("int").alias("toxic")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
-    z = F.abs((F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1e-9))
-    strong = counted.where((F.col("n") >= LEAST_DOCS) & ((z >= LEAST_Z) | F.col("word").isin(sorted(terms())))).orderBy(z.desc(), "word").limit(WORDS)
-    vocabulary = [r["word"] for r in strong.collect()]
-    wanted = set(vocabulary)
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in batches:
-            words = pa.array([[w for w in ws if w in wanted] for ws in f.column("words").to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([f.column("doc_id"), f.column("toxic"), words], ["doc_id", "toxic", "words"])
-
-    got = sample.mapInArrow(known, sample.schema).toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), got["words"].to_pylist(), strict=True), key=lambda r: (r[0], r[2]))
-    return fit([(set(words), int(toxic > 0)) for _, toxic, words in rows], vocabulary=vocabulary)
-
-
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), at: float = 0.7, prefix: str = "") -> DataFrame:
     """Columns ``keep``, then score double (0 to 1) and predicted int (1 if score >= ``at``), named with ``prefix``.
 
