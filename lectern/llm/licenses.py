@@ -3,8 +3,8 @@
 Every text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` before white space. A sentence is
 normalised (A-Z lower-cased, all but a-z and 0-9 to single spaces, trimmed) and looked up among the known
 sentences. A sentence may also run over line ends, as in hard-wrapped notices; comment leaders there go with all that
-is not a letter or digit. The SQL knows sentences of one line only. What is found, in text order, is the text's identifier sequence; ordered rules then take their
-identifiers out of it, each rule what earlier ones left.
+is not a letter or digit. The SQL knows sentences of one line only. What is found, in text order, is the text's
+identifier sequence; ordered rules then take their identifiers out of it, each rule what earlier ones left.
 
 All of it is row-local: no shuffle, no join, nothing that grows with the data is broadcast.
 """
@@ -51,6 +51,41 @@ SENTENCES: dict[str, str] = {
     "this work is licensed under a creative commons attribution 4 0 international license": "ccby_ref",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "ccbysa_ref",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync_ref",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc_warranty",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2_ref",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2_copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl2_copy",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2only_grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl3only_grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21_grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3_grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3_grant",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl_warranty",
+    "see the gnu lesser general public license for more details": "lgpl_see",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3_grant",
+    "see the gnu affero general public license for more details": "agpl_see",
+    "this is free and unencumbered software released into the public domain": "unlicense_ref",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense_grant",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0_grant",
+    "this software is distributed without any warranty": "cc0_warranty",
+    "this software is provided as is without any express or implied warranty": "zlib_warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib_damages",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib_grant",
+    "distributed under the boost software license version 1 0": "bsl_ref",
+    "spdx license identifier bsd 3 clause": "bsd3_spdx",
+    "spdx license identifier bsd 2 clause": "bsd2_spdx",
+    "spdx license identifier isc": "isc_spdx",
+    "spdx license identifier mpl 2 0": "mpl2_spdx",
+    "spdx license identifier gpl 2 0 or later": "gpl2_spdx",
+    "spdx license identifier gpl 2 0 only": "gpl2only_spdx",
+    "spdx license identifier gpl 3 0 only": "gpl3only_spdx",
+    "spdx license identifier lgpl 2 1 or later": "lgpl21_spdx",
+    "spdx license identifier agpl 3 0 or later": "agpl3_spdx",
+    "spdx license identifier unlicense": "unlicense_spdx",
+    "spdx license identifier cc0 1 0": "cc0_spdx",
+    "spdx license identifier zlib": "zlib_spdx",
+    "spdx license identifier bsl 1 0": "bsl_spdx",
     "all rights reserved": "reserved",
 }
 
@@ -69,6 +104,17 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("BSD-2-Clause", "permissive", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("GPL-3.0-or-later", "copyleft", ("gpl3_grant", "gpl_warranty", "gpl_see")),
     ("GPL-2.0-or-later", "copyleft", ("gpl2_grant", "gpl_warranty", "gpl_see")),
+    ("GPL-2.0-only", "copyleft", ("gpl2only_grant", "gpl_warranty", "gpl_see")),
+    ("GPL-3.0-only", "copyleft", ("gpl3only_grant", "gpl_warranty", "gpl_see")),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl21_grant", "lgpl_warranty", "lgpl_see")),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl3_grant", "lgpl_warranty", "lgpl_see")),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl3_grant", "gpl_warranty", "lgpl_see")),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl3_grant", "gpl_warranty", "agpl_see")),
+    ("MPL-2.0", "copyleft", ("mpl2_ref", "mpl2_copy")),
+    ("ISC", "permissive", ("isc_grant", "isc_warranty")),
+    ("Zlib", "permissive", ("zlib_warranty", "zlib_damages", "zlib_grant")),
+    ("Unlicense", "permissive", ("unlicense_ref", "unlicense_grant")),
+    ("CC0-1.0", "permissive", ("cc0_grant", "cc0_warranty")),
     ("Apache-2.0", "permissive", ("apache_ref",)),
     ("Apache-2.0", "permissive", ("apache_spdx",)),
     ("MIT", "permissive", ("mit_ref",)),
@@ -78,6 +124,30 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("GPL-3.0-or-later", "copyleft", ("gpl3_spdx",)),
     ("GPL-3.0-or-later", "copyleft", ("gpl3_grant",)),
     ("GPL-2.0-or-later", "copyleft", ("gpl2_grant",)),
+    ("GPL-2.0-or-later", "copyleft", ("gpl2_spdx",)),
+    ("GPL-2.0-only", "copyleft", ("gpl2only_grant",)),
+    ("GPL-2.0-only", "copyleft", ("gpl2only_spdx",)),
+    ("GPL-3.0-only", "copyleft", ("gpl3only_grant",)),
+    ("GPL-3.0-only", "copyleft", ("gpl3only_spdx",)),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl21_grant",)),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl21_spdx",)),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl3_grant",)),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl3_grant",)),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl3_spdx",)),
+    ("MPL-2.0", "copyleft", ("mpl2_ref",)),
+    ("MPL-2.0", "copyleft", ("mpl2_spdx",)),
+    ("BSD-3-Clause", "permissive", ("bsd3_spdx",)),
+    ("BSD-2-Clause", "permissive", ("bsd2_spdx",)),
+    ("ISC", "permissive", ("isc_grant",)),
+    ("ISC", "permissive", ("isc_spdx",)),
+    ("Zlib", "permissive", ("zlib_grant",)),
+    ("Zlib", "permissive", ("zlib_spdx",)),
+    ("Unlicense", "permissive", ("unlicense_ref",)),
+    ("Unlicense", "permissive", ("unlicense_spdx",)),
+    ("CC0-1.0", "permissive", ("cc0_grant",)),
+    ("CC0-1.0", "permissive", ("cc0_spdx",)),
+    ("BSL-1.0", "permissive", ("bsl_ref",)),
+    ("BSL-1.0", "permissive", ("bsl_spdx",)),
     ("CC-BY-NC-4.0", "restricted", ("ccbync_ref",)),
     ("CC-BY-SA-4.0", "copyleft", ("ccbysa_ref",)),
     ("CC-BY-4.0", "permissive", ("ccby_ref",)),
