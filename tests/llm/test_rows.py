@@ -70,6 +70,83 @@ limitations under the License."""
     assert got[4] == ("", "") and got[5] == ("MIT", "mit_title") and got[6] == ("", "")
 
 
+def test_more_published_notices(spark):
+    """Headers of further licences at 72 columns, bare and inside comments."""
+    notices = {
+        "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+        "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.""",
+        "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.""",
+        "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+        "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.""",
+        "MIT": """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.""",
+        "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+        "Unlicense": "SPDX-License-Identifier: Unlicense",
+    }
+    rows = []
+    for i, text in enumerate(notices.values()):
+        rows += [(10 * i + k, "\n".join(mark + line for line in text.split("\n")), None, None) for k, mark in enumerate(("", "# ", " * ", "// "))]
+    got = {r.doc_id: r.licenses for r in licenses.scan(table(spark, rows)).collect()}
+    assert got == {10 * i + k: name for i, name in enumerate(notices) for k in range(4)}
+
+
+def test_very_long_texts(spark):
+    text = "word " * 300_000 + "\nLicensed under the MIT License.\n" + "more\n" * 100_000
+    r = licenses.scan(table(spark, [(1, text, None, None), (1, text, None, None)])).collect()
+    assert [(x.licenses, x.n_known) for x in r] == [("MIT", 1)] * 2
+
+
 def test_water_filling():
     got = mixing.targets({"a": 10, "b": 100, None: 1000}, {"a": 10.0, "b": 1.0, None: 1.0}, 1110, 3)
     assert got["a"] == 30 and abs(got["b"] - 300) < 1e-9 and abs(got[None] - 780) < 1e-9

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -262,6 +263,46 @@ def test_em_reaches_the_best_proportions():
     assert abs(share["a"] - grid[int(np.argmax(likely))]) < 0.02
 
 
+def test_selected_sets_against_all_subsets():
+    """The languages chosen, among all sets of them, by likelihood less the price of each language after the first."""
+    rng = random.Random(17)
+    counts = {}
+    for g in SYLLABLES:
+        counts[g] = np.bincount(langmix.trigrams(language_text(rng, g, 3000)), minlength=langmix.BUCKETS)
+    m = langmix.Model(counts)
+    for parts in (["en"], ["de"], ["en", "fr"], ["de", "en"], ["de", "en", "fr"]):
+        x = langmix.trigrams(" ".join(language_text(rng, g, 120) for g in parts))
+        cells, n = np.unique(x, return_counts=True)
+        best = None
+        for k in range(1, 4):
+            for some in itertools.combinations(range(3), k):
+                theta = np.full(k, 1 / k)
+                p = m.p[cells][:, some]
+                for _ in range(200):
+                    r = theta * p
+                    theta = (r / r.sum(1, keepdims=True) * n[:, None]).sum(0) / n.sum()
+                worth = (np.log((theta * p).sum(1)) * n).sum() - (k - 1) * (math.log(n.sum() + 1) + langmix.PENALTY * n.sum())
+                best = max(best or (worth, some), (worth, some))
+        chosen, main = m.infer([x])[0]
+        assert sorted(g for g, _ in chosen) == [m.languages[i] for i in best[1]] == sorted(parts)
+        assert chosen[0][1] == max(s for _, s in chosen) and 0 < main <= 1
+
+
+def test_languages_of_awkward_texts(spark):
+    """Very long texts, ties, repeated rows with other texts under one doc_id; more languages than usual."""
+    rng = random.Random(6)
+    rows = [(i, language_text(rng, g, 40), g, "a") for i, g in enumerate(["en", "de", "fr"] * 10)]
+    rows += [(50, language_text(rng, "de", 60_000), None, "a"), (51, rows[0][1], "en", "a"), (51, rows[1][1], "de", "a"), (52, "zz", None, None), (52, "zz", None, None)]
+    rows += [(100 + i, f"tag {i} {chr(0x4E00 + i) * 6}", f"l{i}", "a") for i in range(1100)]
+    model = langmix.learn(table(spark, rows), F.lit(True))
+    assert len(model.languages) == 1103
+    got = langmix.identify(table(spark, rows[:35] + rows[-3:]), model).collect()
+    assert len(got) == 38 and [r.lang_pred for r in got if r.doc_id == 50] == ["de"]
+    assert sorted(r.lang_pred for r in got if r.doc_id == 51) == ["de", "en"]
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 52}) == 1
+    assert all(r.lang_pred == f"l{r.doc_id - 100}" for r in got if r.doc_id >= 100)
+
+
 # ------------------------------------------------------------------ fertility
 
 
@@ -374,6 +415,56 @@ def test_toxicity_and_counterfactuals(spark):
     assert toxicity.score(table(spark, []), model).count() == 0
 
 
+def toxicity_loss(weights, bias, rows, swap):
+    """The whole loss, term by term."""
+    score = lambda ws: 1 / (1 + math.exp(-(bias + sum(weights.get(w, 0.0) for w in ws))))
+    share = [toxicity.TOXIC_WEIGHT if y else 1.0 for _, y in rows]
+    loss = sum(s * -math.log(score(ws) if y else 1 - score(ws)) for (ws, y), s in zip(rows, share, strict=True)) / sum(share)
+    gaps = [sum(weights.get(w, 0.0) for w in ws) - sum(weights.get(w, 0.0) for w in other) for ws, _ in rows for other in toxicity.swapped(ws)]
+    return loss + toxicity.RIDGE * sum(w * w for w in weights.values()) + (swap * sum(g * g for g in gaps) / len(gaps) if gaps else 0.0)
+
+
+def test_fit_reaches_the_optimum():
+    rng = random.Random(21)
+    rows = []
+    for i in range(200):
+        toxic = i % 3 == 0
+        ws = {rng.choice(["idiot", "scum", "house"]) if toxic else rng.choice(["garden", "house", "idiot"]), rng.choice(["tree", "river"])}
+        if i % 5 == 0:
+            ws.add("frauen" if toxic else "hommes")
+        rows.append((ws, int(toxic)))
+    vocabulary = sorted(set.union(*[ws for ws, _ in rows]))
+    for swap in (0.0, 1.0):
+        model = toxicity.fit(rows, swap, vocabulary=vocabulary)
+        weights = {w: model.weights.get(w, 0.0) for w in vocabulary}
+        least = toxicity_loss(weights, model.bias, rows, swap)
+        for _ in range(300):
+            other = {w: x + rng.gauss(0, 0.3) for w, x in weights.items()}
+            assert toxicity_loss(other, model.bias + rng.gauss(0, 0.1), rows, swap) > least - 1e-4
+
+
+def test_neutral_mentions_aren_t_attacks(spark):
+    """A group that labelled texts mention in attacks mostly: with the penalty fewer neutral mentions are caught, as many attacks."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(600):
+        toxic = i % 3 == 0
+        group = {True: "musulmans", False: "chrétiens" if i % 3 == 1 else ""}[toxic and i % 2 == 0 or (not toxic and i % 60 == 1)] if not toxic else ("musulmans" if i % 2 == 0 else "")
+        rows.append((i, " ".join([*words(rng, 12).split(" "), *([rng.choice(["crapule", "ordure"])] if toxic and i % 4 else []), group]).strip(), int(toxic)))
+    docs = table(spark, [(i, t, "fr", "a") for i, t, _ in rows] + [(3, "x" * 400_000, "fr", "a"), (None, "crapule", None, None)])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    free, held = (toxicity.learn(docs, labels, F.lit(True), swap=s) for s in (0.0, 20.0))
+    assert free.pairs == held.pairs > 100
+    neutral = [f"les {g} {words(rng, 8)}" for g in ("musulmans", "chrétiens", "juifs") for _ in range(30)]
+    attacks = [f"{words(rng, 8)} crapule" for _ in range(50)]
+    caught = lambda m, texts: sum(m.score(t) >= 0.5 for t in texts)
+    assert caught(held, neutral) < caught(free, neutral) and caught(held, attacks) == caught(free, attacks) == 50
+    gap = lambda m: abs(m.weights.get("musulmans", 0.0) - m.weights.get("juifs", 0.0))
+    assert gap(held) < 0.5 * gap(free)
+    got = toxicity.score(docs, held).collect()
+    assert len(got) == len(rows) + 2 and all(0 <= r.score <= 1 for r in got)
+
+
 # ------------------------------------------------------------------ language model
 
 
