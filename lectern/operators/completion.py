@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -54,17 +55,22 @@ class HashEmbedder:
         return out / np.where(n == 0, 1, n)
 
 
-def completed(df: DataFrame, key: str, prompt: str, client: Completer, batch: int = 32) -> DataFrame:
-    """(key, answer): the client's answer to each row's prompt; null prompts have null answers."""
+def completed(df: DataFrame, key: str, prompt: str, client: Completer, batch: int = 32, parallel: int = 1) -> DataFrame:
+    """(key, answer): the client's answer to each row's prompt; null prompts have null answers.
+
+    A task asks up to ``parallel`` batches at a time; answers keep the rows' order.
+    """
+    def ask(part: pd.DataFrame) -> pd.DataFrame:
+        asked = part[prompt].dropna()
+        got = client.complete(list(asked))
+        if len(got) != len(asked):
+            raise ValueError(f"{len(asked)} prompts, {len(got)} answers")
+        return pd.DataFrame({key: part[key], "answer": pd.Series(got, index=asked.index, dtype=object).reindex(part.index)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for a in range(0, len(f), batch):
-                part = f.iloc[a : a + batch]
-                asked = part[prompt].dropna()
-                got = client.complete(list(asked))
-                if len(got) != len(asked):
-                    raise ValueError(f"{len(asked)} prompts, {len(got)} answers")
-                yield pd.DataFrame({key: part[key], "answer": pd.Series(got, index=asked.index, dtype=object).reindex(part.index)})
+        with ThreadPoolExecutor(max(1, parallel)) as pool:
+            for f in frames:
+                yield from pool.map(ask, [f.iloc[a : a + batch] for a in range(0, len(f), batch)])
 
     return df.select(key, prompt).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, answer string")
 
