@@ -21,29 +21,39 @@ def tokens(text: str) -> list[str]:
     return [t for t in (_EDGE.sub("", x.lower()) for x in text.split()) if t]
 
 
+def longest_run(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """(length, start in a, start in b) of the longest run of tokens in both; of equals the first in a, then in b.
+
+    Every token counts, however frequent: runs that end at a's i-th token grow from those that ended at the one before.
+    """
+    at: dict[str, list[int]] = {}
+    for j, t in enumerate(b):
+        at.setdefault(t, []).append(j)
+    best, ends = (0, 0, 0), {}
+    for i, t in enumerate(a):
+        ends = {j: ends.get(j - 1, 0) + 1 for j in at.get(t, ())}
+        for j, n in ends.items():
+            if n > best[0]:
+                best = (n, i - n + 1, j - n + 1)
+    return best
+
+
 def verify_quote(quotes: list[str], source: str) -> tuple[bool, float]:
     """Whether quotes stand in a source, and how surely.
 
-    Each quote of 20 characters or more is an anchor; its longest run of tokens found in the source covers a share of
-    it. Anchors under 0.6 don't count in the mean but stay in the hit ratio's denominator; found spans more than 300
-    tokens apart are penalised.
+    A quote of 20 characters or more counts; the share of it that its longest run in the source covers is its coverage,
+    if that is 0.6 or more. Sureness weighs the mean coverage of quotes found and the share of quotes found; it falls
+    where two found runs lie over 300 tokens apart.
     """
-    anchors = [a for a in map(tokens, quotes) if sum(map(len, a)) >= LEAST_CHARS]
-    if not anchors:
-        return False, 0.0
+    wanted = [q for q in map(tokens, quotes) if sum(map(len, q)) >= LEAST_CHARS]
     doc = tokens(source)
-    spans, shares = [], []
-    for a in anchors:
-        m = SequenceMatcher(None, a, doc).find_longest_match()
-        if m.size >= COVERAGE * len(a):
-            shares.append(m.size / len(a))
-            spans.append((m.b, m.b + m.size))
-    if not shares:
+    runs = [(longest_run(q, doc), len(q)) for q in wanted]
+    found = sorted((start, start + n, n / size) for (n, _, start), size in runs if n >= COVERAGE * size)
+    if not found:
         return False, 0.0
-    spans.sort()
-    gap = max((b[0] - a[1] for a, b in zip(spans, spans[1:], strict=False)), default=0)
-    sure = WEIGHT * sum(shares) / len(shares) + (1 - WEIGHT) * len(shares) / len(anchors)
-    sure *= 1.0 if gap <= WIDEST_GAP else PENALTY
+    sure = WEIGHT * sum(f[2] for f in found) / len(found) + (1 - WEIGHT) * len(found) / len(wanted)
+    if any(later[0] - before[1] > WIDEST_GAP for before, later in zip(found, found[1:], strict=False)):
+        sure *= PENALTY
     return sure > PASS, sure
 
 
