@@ -175,7 +175,7 @@ def tex_text(tex: str) -> str:
     for _ in range(4):
         out = re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", out)
     out = re.sub(r"\\[A-Za-z]+\*?", " ", out)
-    return re.sub(r"\s+", " ", re.sub(r"[{}~$]", " ", out)).strip()
+    return re.sub(r"\s+", " ", re.sub(r"[~$]", " ", re.sub(r"[{}]", "", out))).strip()
 
 
 def argument(tex: str, macro: str) -> str:
@@ -304,6 +304,13 @@ def listing(html: str) -> list[Row]:
     return list(zip(ids, clean, strict=False))
 
 
+def abstract(html: str) -> list[Row]:
+    """The abstract of an abstract page, without its label, white space squeezed; no row without one."""
+    found = re.search(r"<blockquote[^>]*class=[\"'][^\"']*\babstract\b[^>]*>(.*?)</blockquote>", html, re.S | re.I)
+    text = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", found[1])).strip() if found else ""
+    return [(re.sub(r"^Abstract:\s*", "", text),)] if text else []
+
+
 def any_text(x: object) -> str:
     """Text of nested JSON: lists line by line, wrapped values unwrapped."""
     if x is None:

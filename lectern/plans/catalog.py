@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from lectern.plans import bibliography, citations, documents, parsing, ranking, records, tasks, vectors  # noqa: F401
+    from lectern.plans import bibliography, citations, documents, formats, parsing, ranking, records, tasks, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
