@@ -86,6 +86,16 @@ def has_any(c: Column, phrases: tuple[str, ...]) -> Column:
     return out
 
 
+def citation_marks(c: Column) -> Column:
+    """How many numbered citations like [12] a sentence holds."""
+    return F.size(F.regexp_extract_all(c, F.lit(r"\[[0-9]+\]"), F.lit(0)))
+
+
+def sums_up(c: Column) -> Column:
+    """Whether a lower-cased sentence speaks of several works together: a phrase of synthesis and two citations or more."""
+    return has_any(c, SYNTHESIS_PHRASES) & (citation_marks(c) >= 2)
+
+
 def keeps_structure(title: Column, words: tuple[str, ...] = ("introduction", "conclusion", "background", "related work", "method", "experiment", "result", "discussion"), least: int = 10) -> Column:
     """Whether enough of a heading is left without structural words."""
     out = F.lower(title)

@@ -450,6 +450,26 @@ def grown_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.grown(edges, part.where("src < 3").select(F.col("src").alias("node")), 60)
 
 
+@register("sorted_topics", "SELECT p_brand AS name, count(*)::BIGINT AS evidence, count(DISTINCT p_type)::BIGINT AS works FROM part GROUP BY 1 ORDER BY evidence DESC, works DESC, name DESC LIMIT 5")
+def sorted_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five topics with the most evidence, then works, then the last name."""
+    topics = _part(spark, sf_dir).groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("evidence"), F.countDistinct("p_type").alias("works"))
+    return topics.orderBy(F.struct("evidence", "works", "name").desc()).limit(5)
+
+
+@register(
+    "cited_synthesis",
+    f"""WITH s AS (SELECT conv_id, turn, lower(text) || CASE turn % 3 WHEN 0 THEN ' overall [1] and [22]' WHEN 1 THEN ' in summary [3]' ELSE ' taken together' END AS x FROM conversations WHERE text IS NOT NULL)
+    SELECT conv_id, count(*) FILTER (({' OR '.join(f"contains(x, '{w}')" for w in X.SYNTHESIS_PHRASES)}) AND len(regexp_extract_all(x, '\[[0-9]+\]')) >= 2)::BIGINT AS synthesis, count(*) FILTER (len(regexp_extract_all(x, '\[[0-9]+\]')) = 1)::BIGINT AS cited_once FROM s GROUP BY conv_id""",
+)
+def cited_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that sum up two works or more, and those that cite one alone."""
+    n = F.col("turn") % 3
+    x = F.concat(F.lower("text"), F.when(n == 0, " overall [1] and [22]").when(n == 1, " in summary [3]").otherwise(" taken together"))
+    rows = _talks(spark, sf_dir).where("text IS NOT NULL").select("conv_id", x.alias("x"))
+    return rows.groupBy("conv_id").agg(F.count_if(X.sums_up(F.col("x"))).alias("synthesis"), F.count_if(X.citation_marks(F.col("x")) == 1).alias("cited_once"))
+
+
 # ---------------------------------------------------------------- scans and sinks
 
 

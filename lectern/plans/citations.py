@@ -69,13 +69,18 @@ def _rank_sql(rounds: int) -> str:
     SELECT node, round(rank, 8) AS rank FROM r{rounds}"""
 
 
-@register("pagerank_k", _rank_sql(8))
-def pagerank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight rounds of PageRank over suppliers, parts and orders."""
+def _supply_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges from suppliers to parts and from parts to orders, and their ends."""
     lines = table(spark, sf_dir, "lineitem")
     s, p, o = (F.concat(F.lit(k), F.col(c).cast("string")) for k, c in (("s", "l_suppkey"), ("p", "l_partkey"), ("o", "l_orderkey")))
     edges = lines.select(s.alias("src"), p.alias("dst")).union(lines.select(p, o)).distinct()
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return edges, edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+
+
+@register("pagerank_k", _rank_sql(8))
+def pagerank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight rounds of PageRank over suppliers, parts and orders."""
+    edges, nodes = _supply_graph(spark, sf_dir)
     return C.pagerank(edges, nodes, rounds=8, tolerance=0).select("node", F.round("rank", 8).alias("rank"))
 
 
@@ -110,3 +115,13 @@ def letor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = F.greatest(F.lit(1), F.col("now") - F.coalesce("y", "now") + 1)
     cols = {"similarity": F.col("p_retailprice") / 10000, "global_prestige": glob, "local_prestige": M.log_share(F.col("local"), F.col("ml")), "emergence": glob / F.log1p(age + 1)}
     return x.select("p_partkey", *[F.round(c, 6).alias(k) for k, c in cols.items()])
+
+
+@register("letor_pagerank", _rank_sql(3).replace("SELECT node, round(rank, 8) AS rank FROM r3", "SELECT substr(node, 2)::BIGINT AS p_partkey, round(rank * (SELECT count(*) FROM nodes) / 10, 6) AS pagerank FROM r3 WHERE node LIKE 'p%'"))
+def letor_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifth ranking feature: PageRank (of three rounds here) times a tenth of the pool's size."""
+    edges, nodes = _supply_graph(spark, sf_dir)
+    ranked = C.pagerank(edges, nodes, rounds=3, tolerance=0)
+    pool = F.broadcast(nodes.agg(F.count("*").alias("pool")))  # one number
+    parts = ranked.where("node LIKE 'p%'").join(pool)
+    return parts.select(F.substring("node", 2, 20).cast("long").alias("p_partkey"), F.round(F.col("rank") * F.col("pool") / 10, 6).alias("pagerank"))

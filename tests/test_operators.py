@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalars as M
 from lectern.functions import text as X
-from lectern.operators import citations, completion, dedup, evidence, forums, graph, parsers, ranking, vectors
+from lectern.operators import citations, completion, dedup, evidence, forums, graph, parsers, ranking, ranks, vectors
 from lectern.sources import files, works
 from lectern.streaming import windows
 
@@ -137,6 +137,76 @@ def test_vectors(spark):
     assert vectors.greedy_accept(["a", "b", "c"], np.array([[1, 0], [0.9, 0.1], [0, 1]]), np.zeros((0, 2))) == ["a", "c"]
 
 
+def test_vectors_in_blocks(spark, monkeypatch):
+    """Any number of blocks gives what one matrix gives."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(90, 6)).round(3)
+    m[7] = m[3]
+    m[9] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "k long, v array<double>")
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = m / np.where(n == 0, 1, n)
+    sim = np.round(unit @ unit.T, 9)
+    queries = rows.where("k % 20 = 0")
+    got = sorted((r.query, r.k) for r in vectors.nearest(queries, rows, "k", "v", 5).collect())
+    assert got == sorted((q, int(i)) for q in range(0, 90, 20) for i in np.lexsort((np.arange(90), -sim[q]))[:5])
+    assert vectors.count_above(queries, "k", "v", rows, 0.3).first().pairs == int((sim[::20] > 0.3).sum())
+    best = {r.k: (r.match, r.similarity) for r in vectors.best_match(rows, "k", "v", queries, "k", "v").collect()}
+    assert all(best[i][1] == pytest.approx(sim[i, ::20].max()) for i in range(90)) and best[0][0] == 0
+    assert {r.match for r in vectors.best_match(rows, "k", "v", queries.limit(0), "k", "v").collect()} == {None}
+    kept = vectors.keep_share(vectors.similarities(queries, rows, "k", "v"), ["query"], "similarity", "k", 0.3)
+    assert kept.groupBy("query").count().select("count").distinct().collect()[0][0] == 27
+
+
+def test_places_in_large_groups(spark):
+    """Groups that go through many partitions, null ones too."""
+    rows = spark.range(0, 1000, 1, 7).select("id", F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, F.col("id").cast("string")).alias("g"))
+    got = ranks.ranked_in(rows, ["g"], [F.col("id").desc()], "place").collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.g, []).append((r.place, r.id))
+    assert len(got) == 1000
+    assert all([i for _, i in sorted(v)] == sorted((i for _, i in v), reverse=True) and [p for p, _ in sorted(v)] == list(range(1, len(v) + 1)) for v in by.values())
+
+
+def test_pagerank_ends_at_its_tolerance(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("d", "d")], "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in "abcde"], "node string")
+    got = {r.node: r["rank"] for r in citations.pagerank(edges, nodes, tolerance=1e-9).collect()}
+    m = np.zeros((5, 5))
+    for a, b in ("ab", "bc", "ca", "da"):
+        m["abcde".index(b), "abcde".index(a)] = 1
+    r = np.full(5, 0.2)
+    for _ in range(300):
+        r = 0.15 / 5 + 0.85 * (m @ r + r[4] / 5)
+    assert all(got[x] == pytest.approx(r[i], abs=1e-6) for i, x in enumerate("abcde"))
+
+
+def test_boosted_ranker_orders_by_gain(spark):
+    rows = spark.createDataFrame([(float(i % 10), float(i % 3), float(i % 10 > 6)) for i in range(200)], "a double, b double, label double")
+    out = ranking.boosted_ranker(rows, ["a", "b"], "label", rounds=3, depth=2).transform(rows)
+    assert out.where("label = 1").agg(F.min("rank")).first()[0] > out.where("label = 0").agg(F.max("rank")).first()[0]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    with open(f"{tmp_path}/lines.json", "w") as f:
+        f.write("\n".join("" if i % 50 == 7 else '{"x": %d}' % i for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = files.numbered_lines(spark, str(tmp_path), "x long", 100).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r["index"] for r in got) == [i for i in range(100, 20_000) if i % 50 != 7] and all(r["index"] == r.x for r in got)
+
+
+def test_pool_grows_until_nothing_is_new(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert {(r.node, r.round) for r in citations.grown(edges, seeds, 4).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
+    assert citations.grown(edges, seeds, 100).count() == 7
+
+
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><front><abstract><div><p>We look at it. It works.</p></div></abstract></front>
 <body><div><head n="1">Introduction</head><p>Nets are deep <ref type="bibr" target="#b0">[1]</ref>. They learn.</p></div>
 <div><head n="1.1">Scope</head><p>Small.</p></div><div><head>Open problems</head><p>Many.</p></div></body>
