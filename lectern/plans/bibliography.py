@@ -441,7 +441,12 @@ def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.md5(P.text_window(abstract, F.col("s"), False)).alias("intro"), F.md5(P.text_window(abstract, F.col("s"), True)).alias("gap"))
 
 
-@register("grown_pool", "WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), g(node, round) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey < 3 UNION SELECT (node * 3 + i) % (SELECT n FROM n), round + 1 FROM g, (VALUES (1), (2)) v(i) WHERE round < 4) SELECT node, min(round)::INT AS round FROM g GROUP BY node")
+@register(
+    "grown_pool",
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), g(node, round) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey < 3 UNION SELECT (node * 3 + i) % (SELECT n FROM n), round + 1 FROM g, (VALUES (1), (2)) v(i) WHERE round < 8),
+    f AS (SELECT node, min(round) AS round FROM g GROUP BY node), c AS (SELECT round, sum(count(*)) OVER (ORDER BY round) AS have FROM f GROUP BY round)
+    SELECT node, round::INT AS round FROM f WHERE round <= (SELECT min(round) FROM c WHERE have >= 60)""",
+)
 def grown_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pool grown by its neighbours, hop by hop, until it is large enough."""
     part = _part(spark, sf_dir).select(F.col("p_partkey").alias("src"))
