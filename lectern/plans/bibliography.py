@@ -464,7 +464,7 @@ def sorted_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "cited_synthesis",
-    f"""WITH s AS (SELECT conv_id, turn, lower(text) || CASE turn % 3 WHEN 0 THEN ' overall [1] and [22]' WHEN 1 THEN ' in summary [3]' ELSE ' taken together' END AS x FROM conversations WHERE text IS NOT NULL)
+    rf"""WITH s AS (SELECT conv_id, turn, lower(text) || CASE turn % 3 WHEN 0 THEN ' overall [1] and [22]' WHEN 1 THEN ' in summary [3]' ELSE ' taken together' END AS x FROM conversations WHERE text IS NOT NULL)
     SELECT conv_id, count(*) FILTER (({' OR '.join(f"contains(x, '{w}')" for w in X.SYNTHESIS_PHRASES)}) AND len(regexp_extract_all(x, '\[[0-9]+\]')) >= 2)::BIGINT AS synthesis, count(*) FILTER (len(regexp_extract_all(x, '\[[0-9]+\]')) = 1)::BIGINT AS cited_once FROM s GROUP BY conv_id""",
 )
 def cited_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
