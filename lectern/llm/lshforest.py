@@ -12,8 +12,8 @@ its square. What they leave open is made up in full: where the members of a larg
 still in several components, all its pairs across components are compared, signatures first, in cells of a bounded
 size. So two classes that share such a prefix in any order are compared, or are in one component without.
 
-A hub may have any number of candidates: its text goes once to each of up to ``SALTS`` shares of them, and joins on
-regions and hubs leave both sides to exchanges that Spark splits where they are skewed.
+A hub may have any number of candidates: to be confirmed, its text goes once to each of up to ``SALTS`` shares of them.
+In the join of pairs with signatures the pairs of a hub are one key.
 
 Candidates whose signatures agree too little are left out (over four standard deviations under the threshold), the
 others are confirmed or refused on their full sets. Links make components by star rounds in Spark.
@@ -45,7 +45,7 @@ SMALL = 5
 #: Rows of one region that a task keeps while it reads on.
 MOST_HELD = 200_000
 #: Shares that a class's candidates are dealt into to be confirmed.
-SALTS = 256
+SALTS = 16
 #: Members on either side of a cell, the part of a large region that is compared at a time.
 CELL = 512
 _WIDTH = 4 * DEPTH
@@ -227,24 +227,16 @@ def regions(nodes: DataFrame) -> DataFrame:
     return checkpointed(ordered.mapInArrow(_neighbours, "region long, level int, a long, b long"))
 
 
-def _anew(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with a key that Spark takes for another one, so that a join deals both its sides out and can split them."""
-    return df.withColumn(key, F.bitwise_not(F.bitwise_not(F.col(key))))
-
-
 def candidates(nodes: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes that stand near in some order and whose signatures agree well enough; hubs are on the left."""
     members = near.where("region IS NOT NULL").select("region", F.col("a").alias("id"), F.col("b").alias("leaf"))
     weight = members.groupBy("id").agg(F.sum(F.log("leaf")).alias("weight"))
     best = members.select("region", "id").join(weight, "id").groupBy("region").agg(F.max(F.struct("weight", "id")).alias("m"))
-    best = best.select("region", F.col("m.id").alias("a"))
+    stars = members.select("region", "id").join(best.select("region", F.col("m.id").alias("hub")), "region").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    pairs = near.where("region IS NULL").select("a", "b").union(stars).distinct()
     signed = lambda id_, name: nodes.select(F.col("node").alias(id_), F.col("signature").alias(name))
-    stars = members.select("region", F.col("id").alias("b")).join(_anew(best, "region"), "region").where("a <> b").select("a", "b").distinct()
-    hubs = best.select("a").distinct().join(signed("a", "sig_a"), "a")
-    stars = stars.join(signed("b", "sig_b"), "b").join(_anew(hubs, "a"), "a")
-    pairs = near.where("region IS NULL").select("a", "b").distinct().join(signed("a", "sig_a"), "a").join(signed("b", "sig_b"), "b")
-    schema, columns, agreeing = "a long, b long", ("a", "b", "sig_a", "sig_b"), _agreeing(_least(percent))
-    return stars.select(*columns).mapInArrow(agreeing, schema).union(pairs.select(*columns).mapInArrow(agreeing, schema))
+    pairs = pairs.join(signed("a", "sig_a"), "a").join(signed("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+    return pairs.mapInArrow(_agreeing(_least(percent)), "a long, b long")
 
 
 def _meetings(cell: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -302,7 +294,7 @@ def remainder(docs: DataFrame, nodes: DataFrame, near: DataFrame, grouped: DataF
     sizes = sizes.groupBy("region").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / CELL).cast("long")
     sizes = sizes.select("region", F.col("m.component").alias("main"), blocks(F.col("n")).alias("wide"), blocks(F.col("n") - F.col("m.n")).alias("high"))
-    open_ = members.join(_anew(sizes, "region"), "region").withColumn("outside", F.col("component") != F.col("main"))
+    open_ = members.join(sizes, "region").withColumn("outside", F.col("component") != F.col("main"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     mine = lambda n: F.pmod(F.xxhash64("id"), n)
     held = open_.withColumn("i", mine(F.col("wide"))).withColumn("j", every(F.col("high"))).withColumn("other", F.lit(False))
@@ -320,7 +312,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, text): a text for each node of ``ids``."""
     wanted = nodes.select("node", "doc_id").join(ids, "node").select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none")).distinct()
     id_ = F.col("doc_id").cast("long")
-    texts = docs.select(F.coalesce(id_, F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none"), "text").join(_anew(wanted, "id"), ["id", "none"], "left_semi").select("text")
+    texts = docs.select(F.coalesce(id_, F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none"), "text").join(wanted, ["id", "none"], "left_semi").select("text")
     return checkpointed(texts.mapInArrow(_noded, "node long, text string").dropDuplicates(["node"]).join(ids, "node", "left_semi"))
 
 
