@@ -12,19 +12,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component): every node of an edge with the smallest node that it reaches.
 
     Large-star and small-star rounds: every round joins nodes to the smallest neighbour they know, so the rounds
-    grow with the logarithm of a component's diameter and no adjacency list is ever held in one task. A node may have
-    any number of neighbours: minima are combined before they are dealt out, and both sides of a join come from
-    exchanges of their own, whose skewed partitions Spark splits. Each round is written to the checkpoint folder. Edges may repeat, point either way or join a node to itself; null ends
-    are left out, and so are nodes whose only edge is to themselves.
+    grow with the logarithm of a component's diameter and no adjacency list is ever held in one task. Minima are
+    combined before they are dealt out. Each round is written to the checkpoint folder. Edges may repeat, point either
+    way or join a node to itself; null ends are left out, and so are nodes whose only edge is to themselves.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     e = checkpointed(e.where("a > b").distinct())
     seen = None
     while True:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.greatest("a", F.least("a", "m")).alias("a"), F.least("a", "m").alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.greatest("a", "m").alias("a"), "m")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = checkpointed(small.where("a > b").union(low.select("a", F.col("m").alias("b"))).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
