@@ -40,7 +40,7 @@ class EchoCompleter:
 
 
 class HashEmbedder:
-    """Unit vectors of hashed word counts."""
+    """Unit vectors of hashed word counts, signed; where all of them cancel, unsigned: only a text without words is zero."""
 
     def __init__(self, size: int = 64) -> None:
         self.size = size
@@ -48,9 +48,12 @@ class HashEmbedder:
     def embed(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.size))
         for i, t in enumerate(texts):
-            for w in re.findall(r"\w+", t.lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+            hashes = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") for w in re.findall(r"\w+", t.lower())]
+            for h in hashes:
                 out[i, h % self.size] += 1 if h >> 63 else -1
+            if hashes and not out[i].any():
+                for h in hashes:
+                    out[i, h % self.size] += 1
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n == 0, 1, n)
 

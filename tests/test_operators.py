@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import scalars as M
 from lectern.functions import text as X
 from lectern.operators import citations, completion, dedup, evidence, forums, graph, parsers, ranking, ranks, vectors
+from lectern.plans import catalog
 from lectern.sources import files, works
 from lectern.streaming import windows
 
@@ -284,6 +285,24 @@ def test_completion(spark):
     assert completion.spans("[[1, 2]]", ["a", "b", "c"]) == ["a b"] and completion.first_conclusive([("NEUTRAL", 0.9), ("REFUTED", 0.1)]) == 1
 
 
+def test_words_that_cancel_have_a_vector():
+    """Two words in one place with opposite signs: the text still has words, so its vector has length 1."""
+    e = completion.HashEmbedder(1)
+    signs = {w: e.embed([w])[0, 0] for w in "abcdefgh"}
+    up, down = (next(w for w in signs if signs[w] == s) for s in (1, -1))
+    assert np.linalg.norm(e.embed([f"{up} {down}", f"{down} {up} {up}", "...", ""]), axis=1).tolist() == [1, 1, 0, 0]
+
+
+def test_answers_name_places_that_are_not_there(spark, tmp_path):
+    """However many candidates there are, a place beyond them is never picked."""
+    rows = [(i, f"s{i}", i % 4, 0.0) for i in range(520)] + [(520, "s", 5, 0.0), (521, "s", 6, 0.0)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got: dict = {}
+    for r in catalog.queries()["filtered_candidates"](spark, str(tmp_path)).collect():
+        got.setdefault(r.s_nationkey, []).append(r.place)
+    assert got == {0: [2, 1], 1: [1, 2, 3], 2: [1, 2, 3], 3: [2, 1], 5: [1], 6: [1]}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.createDataFrame([(i, "k", float(i)) for i in range(40)], "event_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") * 7200))
     events.write.parquet(f"{tmp_path}/in")
