@@ -60,10 +60,10 @@ def verifiable_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("filtered_candidates", "WITH n AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) SELECT k AS s_nationkey, unnest(CASE k % 3 WHEN 0 THEN CASE WHEN n >= 2 THEN [2, 1] ELSE [1] END ELSE range(1, least(n, 3) + 1) END)::BIGINT AS place FROM n")
 def filtered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of the candidates that an answer picks, the first three where it picks none."""
-    answer = lambda x: ["[2, 1, 2, 99]", "none of them", ""][int(x["ID"]) % 3]
+    """Places of the candidates that an answer picks, the first three where it picks none; one that it names is never there."""
+    answer = lambda x: [f"[2, 1, 2, {int(x['COUNT']) + 99}]", "none of them", ""][int(x["ID"]) % 3]
     rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
-    got = T.asked(rows, "s_nationkey", T.prompt("Which of these are papers?", ("ID", F.col("s_nationkey"))), _rule(answer))
+    got = T.asked(rows, "s_nationkey", T.prompt("Which of these are papers?", ("ID", F.col("s_nationkey")), ("COUNT", F.col("n"))), _rule(answer))
     return got.select("s_nationkey", F.explode(T.chosen(F.col("answer"), F.col("n"))).alias("place"))
 
 
