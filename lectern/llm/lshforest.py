@@ -16,7 +16,8 @@ A hub may have any number of candidates: to be confirmed, its text goes once to
 In the join of pairs with signatures the pairs of a hub are one key.
 
 Candidates whose signatures agree too little are left out (over four standard deviations under the threshold), the
-others are confirmed or refused on their full sets. Links make components by star rounds in Spark.
+others are confirmed or refused on their full sets. Only the lowest byte of each value is sent for that: values that
+agree, agree there too, and one in 256 of the others. Links make components by star rounds in Spark.
 
 Of two linked texts that stand alone at a similarity of 0.85, a share of (1 - 0.85**3)**16 is missed: under one in a
 million.
@@ -164,12 +165,18 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield find(held_keys, held_ids, opens, True)
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for f in batches:
+        low = np.frombuffer(b"".join(f.column("signature").to_pylist()), np.uint8).reshape(f.num_rows, -1)[:, 3::4]
+        yield pa.RecordBatch.from_arrays([f.column("node"), pa.array([r.tobytes() for r in low], pa.binary())], ["node", "sketch"])
+
+
 def _agreeing(least: float):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in batches:
             if not f.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(f.column(c).to_pylist()), ">u4").reshape(f.num_rows, -1) for c in ("sig_a", "sig_b"))
+            x, y = (np.frombuffer(b"".join(f.column(c).to_pylist()), np.uint8).reshape(f.num_rows, -1) for c in ("sig_a", "sig_b"))
             yield f.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
 
     return keep
@@ -217,6 +224,11 @@ def _least(percent: int) -> float:
     return share - 4 * (share * (1 - share) / (TREES * DEPTH)) ** 0.5
 
 
+def sketches(nodes: DataFrame) -> DataFrame:
+    """(node, sketch binary): the lowest byte of each signature value."""
+    return nodes.where("signature IS NOT NULL").select("node", "signature").mapInArrow(_sketched, "node long, sketch binary")
+
+
 def regions(nodes: DataFrame) -> DataFrame:
     """What :func:`_neighbours` finds: candidates, and members of large regions."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -230,11 +242,14 @@ def regions(nodes: DataFrame) -> DataFrame:
 def candidates(nodes: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes that stand near in some order and whose signatures agree well enough; hubs are on the left."""
     members = near.where("region IS NOT NULL").select("region", F.col("a").alias("id"), F.col("b").alias("leaf"))
-    weight = members.groupBy("id").agg(F.sum(F.log("leaf")).alias("weight"))
-    best = members.select("region", "id").join(weight, "id").groupBy("region").agg(F.max(F.struct("weight", "id")).alias("m"))
-    stars = members.select("region", "id").join(best.select("region", F.col("m.id").alias("hub")), "region").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    # a member's weight and its regions are brought together once, without a join of memberships
+    each = members.groupBy("id").agg(F.sum(F.log("leaf")).alias("weight"), F.collect_list("region").alias("regions"))
+    each = each.select("id", "weight", F.explode("regions").alias("region"))
+    best = each.groupBy("region").agg(F.max(F.struct("weight", "id")).alias("m"))
+    stars = each.select("region", "id").join(best.select("region", F.col("m.id").alias("hub")), "region").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     pairs = near.where("region IS NULL").select("a", "b").union(stars).distinct()
-    signed = lambda id_, name: nodes.select(F.col("node").alias(id_), F.col("signature").alias(name))
+    small = sketches(nodes)
+    signed = lambda id_, name: small.select(F.col("node").alias(id_), F.col("sketch").alias(name))
     pairs = pairs.join(signed("a", "sig_a"), "a").join(signed("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
     return pairs.mapInArrow(_agreeing(_least(percent)), "a long, b long")
 
@@ -242,12 +257,12 @@ def candidates(nodes: DataFrame, near: DataFrame, percent: int) -> DataFrame:
 def _meetings(cell: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of the others: the cell's members of other components whose signatures agree well enough, the best first."""
     ids, kin, other, outside = (cell.column(c).to_numpy() for c in ("id", "component", "other", "outside"))
-    signature = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
+    sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
     here = np.flatnonzero(~other)
     for o in np.flatnonzero(other):
         # two members outside the main component meet both ways round; one is enough
         at = here[(kin[here] != kin[o]) & (~outside[here] | (ids[here] > ids[o]))]
-        agree = (signature[at] == signature[o]).mean(1)
+        agree = (sketch[at] == sketch[o]).mean(1)
         order = np.argsort(-agree, kind="stable")
         yield o, at[order[agree[order] >= least]]
 
@@ -289,7 +304,9 @@ def remainder(docs: DataFrame, nodes: DataFrame, near: DataFrame, grouped: DataF
     decide which rows' texts are fetched, full sets confirm, and one link is given for each member and component.
     """
     members = near.where(F.col("level") == LEAST).select("region", F.col("a").alias("id")).distinct()
-    members = members.join(grouped.select(F.col("node").alias("id"), "component"), "id")
+    # sketches join a region's members before these are dealt into cells
+    known = grouped.select("node", "component").join(sketches(nodes), "node").withColumnRenamed("node", "id")
+    members = checkpointed(members.join(known, "id"))
     sizes = members.groupBy("region", "component").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("region").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / CELL).cast("long")
@@ -299,9 +316,9 @@ def remainder(docs: DataFrame, nodes: DataFrame, near: DataFrame, grouped: DataF
     mine = lambda n: F.pmod(F.xxhash64("id"), n)
     held = open_.withColumn("i", mine(F.col("wide"))).withColumn("j", every(F.col("high"))).withColumn("other", F.lit(False))
     others = open_.where("outside").withColumn("j", mine(F.col("high"))).withColumn("i", every(F.col("wide"))).withColumn("other", F.lit(True))
-    cell, columns = ["region", "i", "j"], ["region", "i", "j", "id", "component", "outside", "other", "signature"]
-    cells = held.unionByName(others).join(nodes.select(F.col("node").alias("id"), "signature"), "id").select(*columns)
-    schema = "region long, i long, j long, id long, component long, outside boolean, other boolean, signature binary"
+    cell, columns = ["region", "i", "j"], ["region", "i", "j", "id", "component", "outside", "other", "sketch"]
+    cells = held.unionByName(others).select(*columns)
+    schema = "region long, i long, j long, id long, component long, outside boolean, other boolean, sketch binary"
     cells = checkpointed(cells.groupBy(*cell).applyInArrow(_across(_least(percent)), schema))
     texts = _texts(docs, nodes, cells.select(F.col("id").alias("node")).distinct())
     cells = cells.join(texts.select(F.col("node").alias("id"), "text"), "id")

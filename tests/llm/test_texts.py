@@ -144,6 +144,20 @@ def test_pairs_in_a_loose_region(spark):
     assert {(i, c) for i, _, c, _ in brute_components(rows[:60], 85)} == {(i, i - i % 10) for i, *_ in rows[:60]}
 
 
+def test_cells_carry_sketches(spark, monkeypatch):
+    """A byte for each value goes into cells and candidates, by one join of memberships; values that agree still do."""
+    values = np.random.default_rng(1).integers(0, 1 << 32, (2, lshforest.TREES * lshforest.DEPTH), dtype=np.uint32)
+    values[1, ::3] = values[0, ::3]
+    nodes = spark.createDataFrame([(i, bytearray(v.astype(">u4").tobytes())) for i, v in enumerate(values)], "node long, signature binary")
+    a, b = (np.frombuffer(r.sketch, np.uint8) for r in lshforest.sketches(nodes).orderBy("node").collect())
+    assert len(a) == values.shape[1] and (a == b)[values[0] == values[1]].all() and (a == b).mean() < 0.5
+    written, keep = [], lshforest.checkpointed
+    monkeypatch.setattr(lshforest, "checkpointed", lambda df: written.append(keep(df)) or written[-1])
+    lshforest.near_duplicates(table(spark, loose_region(random.Random(2), 10))).count()
+    cells = next(x for x in written if "other" in x.columns)
+    assert "signature" not in cells.columns and cells.count() and {len(r.sketch) for r in cells.collect()} == {values.shape[1]}
+
+
 def test_deduplicate_keeps_one_of_each(spark, edges):
     docs = table(spark, edges)
     out = lshforest.deduplicate(docs, 80)
