@@ -44,7 +44,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_keep_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 30 % of vectors most similar to each query, at least one."""
     e = _vectors(spark, sf_dir)
-    return V.keep_share(V.similarities(_queries(e), e, "vec_id", "embedding"), ["query"], "similarity", "vec_id", 0.3).select("query", "vec_id")
+    return V.nearest_share(_queries(e), e, "vec_id", "embedding", 0.3)
 
 
 _BEST = f"WITH {_SRC}, {_UNIT}, {_TOPICS}, s AS (SELECT vec_id, label, topic, round(list_dot_product(v, tv), 9) AS sim FROM u, ut), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, topic) = 1)"

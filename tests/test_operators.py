@@ -160,6 +160,24 @@ def test_vectors_in_blocks(spark, monkeypatch):
     assert kept.groupBy("query").count().select("count").distinct().collect()[0][0] == 27
 
 
+def test_shares_without_a_matrix(spark, monkeypatch):
+    """The rows that sorting all similarities keeps, ties and zero vectors too, from far fewer rows written out."""
+    for name, n in (("BLOCK", 64), ("STEPS", 4), ("FEW", 8)):
+        monkeypatch.setattr(vectors, name, n)
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(400, 5)).round(2)
+    m[50:200] = m[7]  # ties that the key decides
+    m[200:260] = 0
+    rows = spark.createDataFrame([(i - 5, v.tolist()) for i, v in enumerate(m)], "k long, v array<double>")
+    queries, written, keep = rows.where("k % 20 = 0"), [], vectors.checkpointed
+    monkeypatch.setattr(vectors, "checkpointed", lambda df: written.append(keep(df)) or written[-1])
+    got = sorted(map(tuple, vectors.nearest_share(queries, rows, "k", "v", 0.3).collect()))
+    all_ = vectors.similarities(queries, rows, "k", "v")
+    assert got == sorted((r["query"], r["k"]) for r in vectors.keep_share(all_, ["query"], "similarity", "k", 0.3).collect()) and len(got) == 20 * 120
+    assert max(x.count() for x in written) < all_.count() / 4
+    assert vectors.nearest_share(queries.limit(0), rows, "k", "v", 0.3).count() == 0
+
+
 def test_places_in_large_groups(spark):
     """Groups that go through many partitions, null ones too."""
     rows = spark.range(0, 1000, 1, 7).select("id", F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, F.col("id").cast("string")).alias("g"))
