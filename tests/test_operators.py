@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from lectern.functions import scalars as M
 from lectern.functions import text as X
 from lectern.operators import citations, completion, dedup, evidence, forums, graph, parsers, ranking, ranks, vectors
 from lectern.plans import catalog
+from lectern.plans import ranking as plan_ranking
 from lectern.sources import files, works
 from lectern.streaming import windows
 
@@ -321,6 +323,18 @@ def test_answers_name_places_that_are_not_there(spark, tmp_path):
     assert got == {0: [2, 1], 1: [1, 2, 3], 2: [1, 2, 3], 3: [2, 1], 5: [1], 6: [1]}
 
 
+def test_copies_of_names_meet_once(spark, tmp_path, monkeypatch):
+    """Names meet as classes, copies in packs; names of no, one or two letters too."""
+    monkeypatch.setattr(plan_ranking, "PACK", 8)
+    names = ["blue ring", "blue rings", "Blue-Ring", "old plate", "a", "b", "ab", "", "-", None, "a very long name of a part", "a very lung name of b part"]
+    rows = [(i, names[i // 20 % len(names)] if i % 20 < 10 else names[0]) for i in range(600)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    df = catalog.queries()["edit_distance_match"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(db.execute(catalog.oracle_sql()["edit_distance_match"]).fetchall())
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.createDataFrame([(i, "k", float(i)) for i in range(40)], "event_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") * 7200))
     events.write.parquet(f"{tmp_path}/in")
