@@ -22,11 +22,14 @@ them at most, and what a sweep knows about them (x, p) is broadcast. A pair of t
 hash of the pair, any other pair in the bucket of its rare word, which holds that word's restaurant and its dish in
 the parent. So no restaurant or dish has to fit one task, and none is hot. Sweeps read the pairs of all buckets, written
 once; what couples buckets, tables by common context and customers by common dish, is summed over all of them after
-every sweep. A rare word's restaurant and dish are drawn anew in every sweep, by ``INNER`` rounds from the
-seating with fewest tables. A pair of two rare words is held by both their buckets, at one table always: this alone is
-fixed and not sampled.
-
-Scoring deals out the tokens of all texts in the same way; each bucket repeats the kept draws of its pairs. Pairs that
+every sweep. A pair of two rare words is held by both their buckets. With ``sample_rare`` they are drawn as all others
+are: after every sweep the buckets tell each other x and the parent's customers and tables of the words that meet twice
+or more (a pair seen once has one table), both draw the pair's tables from the same numbers with the same random one,
+and x and p of rare words carry over to the next sweep. So which words are common makes no difference to the chain.
+Without it a rare word's restaurant and dish are drawn anew in every sweep, by ``INNER`` rounds from the seating with
+fewest tables, and a pair of two rare words sits at one table always.
+
+Scoring deals out the tokens of all texts in the same way; each bucket gets the kept draws of its pairs. Pairs that
 make up more than 1 / ``HOT`` of the training tokens don't travel: there are fewer than ``HOT``, and every task knows
 their probabilities.
 
@@ -35,6 +38,7 @@ Words are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import base64
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,12 +46,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import RDD, TaskContext
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.text_arrays import mix64, utf8, word_hashes
-from lectern.session import checkpointed
+from lectern.session import checkpoint_folder, checkpointed
 
 BURN, SAMPLES, INNER = 3, 3, 2
 EXACT = 256
@@ -65,6 +70,8 @@ _END, _START = np.uint64(0xE1D5A2B39F00C3D7), np.uint64(0x57A27B11E4F90A3D)
 _SHORT = np.uint64(24)
 #: Kinds of records that a rare word owns: it is the context of a common or rare dish, the dish of a common or rare context.
 _OF_COMMON, _IN_COMMON, _OF_RARE, _IN_RARE = range(4)
+#: What a sweep sends: a part of its sums, what another bucket or the same one starts the next sweep from, kept draws.
+_SUM, _FAR, _OWN, _KEPT = range(4)
 
 
 # ---------------------------------------------------------------- random numbers and tables
@@ -205,6 +212,7 @@ class Common:
     tokens: int
     vocabulary: int
     buckets: int
+    homes: int  # a sweep's tasks; each has the buckets of one remainder
     slot: np.ndarray = field(init=False)
     by_hash: np.ndarray = field(init=False)
 
@@ -283,6 +291,7 @@ class Pairs:
         """One sweep's draws; those of rare words start from as few tables as there are pairs."""
         words, r = common.words, state.sweep
         t = draw_tables(self.c, DISCOUNT * state.x[self.v] * state.p[self.w], DISCOUNT, keyed(words[self.v], words[self.w], r))
+        both = [np.ones(len(self.of(kind)[0]), np.int64) for kind in (_OF_RARE, _IN_RARE)]
         # restaurants of rare contexts
         owner, dish, n = self.of(_OF_COMMON)
         fixed = self.by_owner(self.of(_OF_RARE)[0])
@@ -301,24 +310,117 @@ class Pairs:
             seated = draw_tables(n2, DISCOUNT * state.x[context] * p[owner2], DISCOUNT, keyed(words[context], self.owners[owner2], r, j))
             customers = self.by_owner(owner2, seated) + fixed
             tables = draw_tables(customers, np.full(len(customers), ROOT_DISCOUNT * state.root_x * common.base), ROOT_DISCOUNT, keyed(self.owners, 22, r, j))
-        return Drawn(t, served, own, seated, customers, tables)
+        return Drawn(t, [served, seated, *both], own, customers, tables)
+
+    def meetings(self, kind: int, buckets: int) -> Meetings:
+        """The pairs of two rare words seen twice or more, in an order that both buckets know."""
+        owner, other, n = self.of(kind)
+        short = self.owners >> _SHORT
+        same, clash = short[1:] == short[:-1], np.zeros(len(short), bool)
+        clash[:-1] = same
+        clash[1:] |= same
+        rows = np.flatnonzero((n > 1) | clash[owner])
+        near, far = short[owner[rows]], other[rows]
+        peer = _bucket(far, buckets)
+        left, right = (near, far) if kind == _OF_RARE else (far, near)
+        order = np.lexsort((-n[rows], right, left, peer))
+        rows, left, right, peer = rows[order], left[order], right[order], peer[order]
+        begin = _runs(left, right)
+        sizes = _lengths(begin, len(rows))
+        twice = np.add.reduceat(n[rows], begin) > 1 if len(begin) else np.zeros(0, bool)
+        held = np.repeat(twice, sizes)
+        first = begin[twice]
+        group = np.repeat(np.arange(len(first)), sizes[twice])
+        return Meetings(rows[held], group, left[held], right[held], owner[rows[first]], peer[first])
+
+    def wanted(self, kind: int, met: Meetings) -> np.ndarray:
+        """Owners whose x (of contexts) or p (of dishes; kind: of common) draws depend on."""
+        out = np.zeros(len(self.owners), bool)
+        owner, _, n = self.of(kind)
+        out[owner[n > 1]] = True
+        owner, _, n = self.of(kind + 2)
+        out[owner[n > 1]] = True
+        out[met.owner] = True
+        return np.flatnonzero(out)
+
+    def first(self, common: Common) -> tuple[np.ndarray, np.ndarray]:
+        """By owner, where the first sweep starts: x and p, as ``Common.first`` has them."""
+        followed, count = (sum(self.by_owner(self.of(k)[0], self.of(k)[2]) for k in kinds) for kinds in ((_OF_COMMON, _OF_RARE), (_IN_COMMON, _IN_RARE)))
+        return STRENGTH / DISCOUNT + followed**DISCOUNT, (count + 0.1) / (common.tokens + 0.1 * (common.vocabulary + 1))
+
+    def chained(self, common: Common, state: State, met: list[Meetings], own: list[np.ndarray], far: list[np.ndarray]) -> Drawn:
+        """One sweep's draws where the chain goes on for rare words too; own, far: x of contexts and what p of dishes follows from, by owner and by meeting."""
+        words, r = common.words, state.sweep
+        known = (lambda at: at) if r == 0 else (lambda at: common.parent(at, 0, state))
+        t = draw_tables(self.c, DISCOUNT * state.x[self.v] * state.p[self.w], DISCOUNT, keyed(words[self.v], words[self.w], r))
+        x, p = own[0], known(own[1])
+        owner, dish, n = self.of(_OF_COMMON)
+        served = draw_tables(n, DISCOUNT * x[owner] * state.p[dish], DISCOUNT, keyed(self.owners[owner], words[dish], r))
+        owner2, context, n2 = self.of(_IN_COMMON)
+        seated = draw_tables(n2, DISCOUNT * state.x[context] * p[owner2], DISCOUNT, keyed(words[context], self.owners[owner2], r))
+        both = []
+        for kind, m, mx, mp in ((_OF_RARE, met[0], x[met[0].owner], known(far[1])), (_IN_RARE, met[1], far[0], p[met[1].owner])):
+            n = self.of(kind)[2]
+            at = np.ones(len(n), np.int64)
+            at[m.rows] = draw_tables(n[m.rows], (DISCOUNT * mx * mp)[m.group], DISCOUNT, keyed(m.left, m.right, r))
+            both.append(at)
+        out = self.drawn(t, [served, seated, *both])
+        out.tables = draw_tables(out.customers, np.full(len(out.customers), ROOT_DISCOUNT * state.root_x * common.base), ROOT_DISCOUNT, keyed(self.owners, 11, r))
+        return out
 
-    def sums(self, common: Common, state: State) -> np.ndarray:
+    def drawn(self, t: np.ndarray, records: list[np.ndarray], tables: np.ndarray | None = None) -> Drawn:
+        """Draws with the totals that follow from them."""
+        own, customers = (sum(self.by_owner(self.of(k)[0], records[k]) for k in kinds) for kinds in ((_OF_COMMON, _OF_RARE), (_IN_COMMON, _IN_RARE)))
+        return Drawn(t, records, own, customers, tables)
+
+    def sums(self, common: Common, d: Drawn) -> np.ndarray:
         """Tables by common context, customers by common dish, the rare dishes' tables and customers in the parent."""
-        d, n = self.sweep(common, state), len(common.words)
-        contexts = np.bincount(self.v, d.t, n) + np.bincount(self.of(_IN_COMMON)[1], d.seated, n)
-        dishes = np.bincount(self.w, d.t, n) + np.bincount(self.of(_OF_COMMON)[1], d.served, n)
+        n = len(common.words)
+        contexts = np.bincount(self.v, d.t, n) + np.bincount(self.of(_IN_COMMON)[1], d.records[_IN_COMMON], n)
+        dishes = np.bincount(self.w, d.t, n) + np.bincount(self.of(_OF_COMMON)[1], d.records[_OF_COMMON], n)
         return np.concatenate([contexts, dishes, [d.tables.sum(), d.customers.sum()]])
 
+    def keep(self, d: Drawn, most: int) -> bytes:
+        """What chance decided in a sweep: tables of pairs seen more than once, and those of rare dishes in the parent.
+
+        Not of pairs of common words seen more often than ``most``: these are hot and don't travel.
+        """
+        some = [(self.c > 1) & (self.c <= most), *(n > 1 for n in self.counts()[1:])]
+        return _pack(*(_narrow(x[at]) for x, at in zip([d.t, *d.records], some, strict=True)), _narrow(d.tables))
+
+    def kept(self, data: bytes | None) -> Drawn:
+        """A sweep's draws again; None: there were no pairs. Owners without a pair have no tables."""
+        got = _unpack(data, *[np.uint32] * 6) if data else [np.zeros(0, np.uint32)] * 6
+        made = [np.ones(len(n), np.int64) for n in self.counts()]
+        for x, n, y in zip(made, self.counts(), got, strict=False):
+            x[n > 1] = y
+        tables = np.zeros(len(self.owners), np.int64)
+        tables[np.unique(self.owner)] = got[5]
+        return self.drawn(made[0], made[1:], tables)
+
+    def counts(self) -> list[np.ndarray]:
+        return [self.c, *(self.of(kind)[2] for kind in range(4))]
+
+
+@dataclass
+class Meetings:
+    """Records of one kind in groups; a group is a pair of two rare words, each known by 40 bits."""
+
+    rows: np.ndarray  # among the records of the kind
+    group: np.ndarray
+    left: np.ndarray  # 40 bits of the context
+    right: np.ndarray  # of the dish
+    owner: np.ndarray  # of each group
+    peer: np.ndarray  # of each group, rising: the bucket of its other word
+
 
 @dataclass
 class Drawn:
     """Tables of a bucket's pairs in one sweep, and the totals of rare contexts and rare dishes."""
 
     t: np.ndarray
-    served: np.ndarray
+    records: list[np.ndarray]  # by kind
     own: np.ndarray
-    seated: np.ndarray
     customers: np.ndarray
     tables: np.ndarray
 
@@ -421,6 +523,11 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (mix64(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _owner_bucket(owner: np.ndarray, buckets: int) -> np.ndarray:
+    """Of rare words; 40 bits tell, as much as is known of the other word of a pair."""
+    return _bucket(owner >> _SHORT, buckets)
+
+
 def _pair_bucket(v: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
     return _bucket((v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), buckets)
 
@@ -457,7 +564,7 @@ def _dealt_pairs(shared):
             records = _owned(v, w, before, token)
             owner, other = np.concatenate([r[2] for r in records]), np.concatenate([r[3] for r in records])
             kind = np.concatenate([np.full(len(r[1]), r[0], np.uint8) for r in records])
-            place = _bucket(owner, buckets)
+            place = _owner_bucket(owner, buckets)
             order = np.lexsort((other, kind, owner, place))
             owner, other, kind, place = owner[order], other[order], kind[order], place[order]
             begin = _runs(owner, kind, other)
@@ -500,47 +607,135 @@ def _trained(p: Pairs) -> Pairs:
 
 
 def _merged(shared):
-    """(v, w, n, data): a bucket's training pairs in one row, and a row for each hot pair."""
+    """(bucket, v, w, n, data): a bucket's training pairs in one row, and a row for each hot pair; data as text, which is cheaper on its way from the JVM to Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common: Common = shared.value
-        parts = [_unpack(x, *_PAIRS) for f in batches for x in f.column("data").to_pylist()]
-        if not parts:
-            return
-        p, _, _ = _gather(parts, common.bits)
-        hot = np.flatnonzero(p.c * HOT > common.tokens)
-        data = _pack(p.v, p.w, p.c, p.owners, p.owner, p.kind, p.other, p.n)
-        columns = [pa.array([*x[hot].tolist(), None], pa.int64()) for x in (p.v, p.w, p.c)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([*[None] * len(hot), data], pa.binary())], ["v", "w", "n", "data"])
+        parts: dict[int, list[bytes]] = {}
+        for f in batches:
+            for bucket, data in zip(f.column("bucket").to_pylist(), f.column("data").to_pylist(), strict=True):
+                parts.setdefault(bucket, []).append(data)
+        for bucket in list(parts):
+            p, _, _ = _gather([_unpack(x, *_PAIRS) for x in parts.pop(bucket)], common.bits)
+            hot = np.flatnonzero(p.c * HOT > common.tokens)
+            data = base64.b64encode(_pack(p.v, p.w, p.c, p.owners, p.owner, p.kind, p.other, p.n)).decode()
+            columns = [pa.array([*x[hot].tolist(), None], pa.int64()) for x in (p.v, p.w, p.c)]
+            where = pa.array([bucket] * (len(hot) + 1), pa.int32())
+            yield pa.RecordBatch.from_arrays([where, *columns, pa.array([*[None] * len(hot), data], pa.string())], ["bucket", "v", "w", "n", "data"])
 
     return run
 
 
+def _held(rows):
+    """One element: training pairs by bucket, and hot ones."""
+    held, hot = {}, []
+    for bucket, v, w, n, text in rows:
+        if text is None:
+            hot.append((v, w, n))
+        else:
+            held[bucket] = base64.b64decode(text)
+    return [(held, hot)]
+
+
 def _loaded(data: bytes) -> Pairs:
     return Pairs(*_unpack(data, np.int64, np.int64, np.int64, np.uint64, np.int64, np.uint8, np.uint64, np.int64))
 
 
-def _swept(shared, state):
-    """(chunk, data): parts of the bucket's sums of one sweep."""
+def _told(bucket: int, homes: int, met: list[Meetings], wanted: list[np.ndarray], own: list[np.ndarray]):
+    """What this bucket and others need to go on: x of contexts and what p of dishes follows from, in 32 bits."""
+    yield bucket % homes, (_OWN, bucket, bucket, _join(*(x[at] for x, at in zip(own, wanted, strict=True))))
+    for peer in np.union1d(met[0].peer, met[1].peer).tolist():
+        yield peer % homes, (_FAR, peer, bucket, _join(*(x[m.owner[slice(*np.searchsorted(m.peer, [peer, peer + 1]))]] for x, m in zip(own, met, strict=True))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _join(x: np.ndarray, y: np.ndarray) -> bytes:
+    return struct.pack("<I", len(x)) + x.astype("<f4").tobytes() + y.astype("<f4").tobytes()
+
+
+def _parted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, both = struct.unpack_from("<I", data)[0], np.frombuffer(data, "<f4", offset=4).astype(float)
+    return both[:n], both[n:]
+
+
+def _heard(came: list, met: list[Meetings], wanted: list[np.ndarray], owners: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """By owner, and by meeting from the other words' buckets: x of contexts and what p of dishes follows from."""
+    own = [np.zeros(owners), np.zeros(owners)]
+    for x, at, y in zip(own, wanted, next(_parted(data) for tag, _, data in came if tag == _OWN), strict=True):
+        x[at] = y
+    parts = [_parted(data) for _, data in sorted((key, data) for tag, key, data in came if tag == _FAR)]
+    far = [np.concatenate([np.zeros(0), *(x[i] for x in parts)]) for i in (0, 1)]
+    assert (len(far[0]), len(far[1])) == (len(met[1].owner), len(met[0].owner))
+    return own, far
+
+
+def _started(shared):
+    """The messages that the first sweep starts from."""
+
+    def run(rows):
         common: Common = shared.value
-        for f in batches:
-            for data in f.column("data").to_pylist():
-                sums = _loaded(data).sums(common, state.value).astype(np.int64)
-                cut = [(i, _pack(sums[k : k + _CHUNK])) for i, k in enumerate(range(0, len(sums), _CHUNK))]
-                yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.int32()), pa.array([c[1] for c in cut], pa.binary())], ["chunk", "data"])
+        for held, _ in rows:
+            for bucket, data in held.items():
+                pairs = _loaded(data)
+                met = [pairs.meetings(kind, common.buckets) for kind in (_OF_RARE, _IN_RARE)]
+                wanted = [pairs.wanted(*x) for x in zip((_OF_COMMON, _IN_COMMON), met, strict=True)]
+                yield from _told(bucket, common.homes, met, wanted, pairs.first(common))
+
+    return run
+
+
+def _swept(shared, state, sample_rare: bool, kept: int | None, last: bool):
+    """(task, (tag, bucket or chunk, source or sample, data)): sums of one sweep, all kept draws so far, and what the next sweep starts from."""
+
+    def run(rows):
+        common, start = shared.value, state.value
+        for (held, _), messages in rows:
+            came: dict[int, list] = {}
+            for tag, bucket, key, data in messages:
+                came.setdefault(bucket, []).append((tag, key, data))
+            sums = np.zeros(2 * len(common.words) + 2, np.int64)
+            for bucket, packed in held.items():
+                pairs, mine, home = _loaded(packed), came.get(bucket, []), bucket % common.homes
+                if sample_rare:
+                    met = [pairs.meetings(kind, common.buckets) for kind in (_OF_RARE, _IN_RARE)]
+                    wanted = [pairs.wanted(*x) for x in zip((_OF_COMMON, _IN_COMMON), met, strict=True)]
+                    drawn = pairs.chained(common, start, met, *_heard(mine, met, wanted, len(pairs.owners)))
+                else:
+                    drawn = pairs.sweep(common, start)
+                sums += pairs.sums(common, drawn).astype(np.int64)
+                for tag, key, data in mine:
+                    if tag == _KEPT:
+                        yield home, (tag, bucket, key, data)
+                if kept is not None:
+                    yield home, (_KEPT, bucket, kept, pairs.keep(drawn, common.tokens // HOT))
+                if sample_rare and not last:
+                    x = np.zeros(len(pairs.owners))
+                    x[wanted[0]] = gamma(STRENGTH / DISCOUNT + drawn.own[wanted[0]], keyed(pairs.owners[wanted[0]], 12, start.sweep))
+                    yield from _told(bucket, common.homes, met, wanted, [x, drawn.customers - ROOT_DISCOUNT * drawn.tables])
+            if held:
+                for i, k in enumerate(range(0, len(sums), _CHUNK)):
+                    yield common.homes + i, (_SUM, i, 0, _pack(sums[k : k + _CHUNK]))
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _added(messages):
+    """(chunk, sums of all buckets)."""
     total: dict[int, np.ndarray] = {}
-    for f in batches:
-        for i, data in zip(f.column("chunk").to_pylist(), f.column("data").to_pylist(), strict=True):
+    for tag, i, _, data in messages:
+        if tag == _SUM:
             x = _unpack(data, np.int64)[0]
             total[i] = total[i] + x if i in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "data"])
+    return [(i, x.tobytes()) for i, x in total.items()]
+
+
+def _at_once(messages):
+    """A task's messages as one element."""
+    return [[m for m in messages if m[0] != _SUM]]
+
+
+def _draws(messages):
+    """(bucket, part, kind, data), beside the pieces of texts: part is the sample's number."""
+    return [(bucket, key, 2, data) for tag, bucket, key, data in messages if tag == _KEPT]
 
 
 # ---------------------------------------------------------------- scoring
@@ -611,7 +806,7 @@ def _dealt_texts(shared):
             kind = np.concatenate([np.full(len(r[1]), r[0], np.uint8) for r in records])
             # tokens of two rare words come back one by one: their number among those of the block
             number = np.concatenate([*[np.zeros(len(r[1]), np.int64) for r in records[:2]], *[np.arange(len(r[1])) for r in records[2:]]])
-            place = _bucket(owner, buckets)
+            place = _owner_bucket(owner, buckets)
             order = np.lexsort((text[rows], other, kind, owner, place))
             owner, other, kind, place, number, of_text = owner[order], other[order], kind[order], place[order], number[order], text[rows][order]
             own = _runs(owner, kind, other)
@@ -641,16 +836,21 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _scored(shared):
-    """(part, kind, data): each block's sums over this bucket's tokens (0), halves of its tokens of two rare words (2, 3); kind 1 passes."""
+    """(part, kind, data): each block's sums over this bucket's tokens (0), halves of its tokens of two rare words (2, 3); kind 1 passes.
+
+    Kind 2 of what comes are the bucket's kept draws.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         common, samples = model.common, model.samples
-        pieces, names, passed = [], [], []
+        pieces, names, passed, kept = [], [], [], {}
         for f in batches:
             for part, kind, data in zip(*(f.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True):
                 if kind == 1:
                     passed.append((part, 1, data))
+                elif kind == 2:
+                    kept[part] = data
                 else:
                     pieces.append(_unpack(data, *_PAIRS, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8))
                     names.append(part)
@@ -670,7 +870,7 @@ def _scored(shared):
         for x in pieces:  # what _gather has
             x[0] = x[1] = x[3] = x[4] = x[5] = None
         pairs = _trained(every)
-        drawn = [pairs.sweep(common, s.start) for s in samples]
+        drawn = [pairs.kept(kept.get(i)) for i in range(len(samples))]
         pair_score = np.log10(model.pairs(every.v, every.w, every.c, [_spread(every.c, d.t) for d in drawn]))
 
         followed = every.by_owner(every.owner, np.where((every.kind == _OF_COMMON) | (every.kind == _OF_RARE), every.n, 0))
@@ -678,17 +878,20 @@ def _scored(shared):
         parent = np.stack([common.parent(d.customers, d.tables, s.end) for d, s in zip(drawn, samples, strict=True)])
         spare = np.stack([(STRENGTH + DISCOUNT * d.own) / (STRENGTH + followed) for d in drawn])
         record = np.zeros(len(every.owner))
-        for kind, name in ((_OF_COMMON, "served"), (_IN_COMMON, "seated")):
+        for kind in (_OF_COMMON, _IN_COMMON):
             at = np.flatnonzero(every.kind == kind)
             o, other, c = every.owner[at], every.other[at].astype(np.int64), every.n[at]
             p = np.zeros(len(at))
             for i, (s, d) in enumerate(zip(samples, drawn, strict=True)):
-                t = _spread(c, getattr(d, name))
+                t = _spread(c, d.records[kind])
                 if kind == _OF_COMMON:
                     p += (c - DISCOUNT * t) / (STRENGTH + followed[o]) + spare[i, o] * s.end.p[other]
                 else:
                     p += (c - DISCOUNT * t) / (STRENGTH + common.followed[other]) + model.spare(s)[other] * parent[i, o]
             record[at] = np.log10(p / len(samples))
+        at = np.flatnonzero(every.kind == _OF_RARE)
+        seats = sum(_spread(every.n[at], d.records[_OF_RARE]) for d in drawn) / len(drawn)
+        record[at] = (every.n[at] - DISCOUNT * seats) / (STRENGTH + followed[every.owner[at]])
         smoothed = common.smoothed(count)
 
         for part, x, a, b in zip(names, pieces, back, back2, strict=True):
@@ -696,7 +899,7 @@ def _scored(shared):
             sums = np.bincount(x[7], np.repeat(pair_score[a], x[2]) * x[8], n).astype(float)
             row = np.repeat(b, x[6])
             kind, owner, who = every.kind[row], every.owner[row], x[9]
-            sums += np.bincount(who, record[row], n)
+            sums += np.bincount(who, np.where(kind < _OF_RARE, record[row], 0), n)
             dish = np.flatnonzero((kind == _IN_COMMON) | (kind == _IN_RARE))
             known, base = (np.bincount(who[dish], y[owner[dish]], n).astype(float) for y in (count > 0, smoothed))
             hit, rare = np.flatnonzero(sums), np.flatnonzero(base)
@@ -704,8 +907,7 @@ def _scored(shared):
             at = np.flatnonzero(kind == _OF_RARE)
             if len(at):
                 at = at[np.argsort(x[10][at], kind="stable")]
-                own = np.maximum(every.n[row[at]] - DISCOUNT, 0) / (STRENGTH + followed[owner[at]])
-                out.append((part, 2, _pack(_gaps(x[10][at].astype(np.int64)), *np.stack([own, *spare[:, owner[at]]]).astype(np.float32))))
+                out.append((part, 2, _pack(_gaps(x[10][at].astype(np.int64)), *np.stack([record[row[at]], *spare[:, owner[at]]]).astype(np.float32))))
             at = np.flatnonzero(kind == _IN_RARE)
             if len(at):
                 at = at[np.argsort(x[10][at], kind="stable")]
@@ -760,8 +962,8 @@ def _summed(tokens: int, samples: int):
 # ---------------------------------------------------------------- the whole
 
 
-def train(slim: DataFrame) -> Model:
-    """Counts and samples; slim: text, learns."""
+def train(slim: DataFrame, sample_rare: bool) -> tuple[Model, DataFrame]:
+    """Counts and samples, and the kept draws (bucket, part, kind, data); slim: text, learns."""
     spark = slim.sparkSession
     texts = slim.where("learns").select("text")
     counted = checkpointed(texts.mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -773,18 +975,35 @@ def train(slim: DataFrame) -> Model:
     order = np.lexsort((words, -count))
     words, count = words[order], count[order]
     followed = np.where(words == _END, 0, np.where(words == _START, ends, count))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
-    common = Common(words, count, followed, tokens, vocabulary, buckets)
-    shared = spark.sparkContext.broadcast(common)
-
-    dealt = texts.mapInArrow(_dealt_pairs(shared), "bucket int, data binary").repartitionById(buckets, F.col("bucket"))
-    pairs = checkpointed(dealt.mapInArrow(_merged(shared), "v long, w long, n long, data binary"))
-    chunks = -(-(2 * len(words) + 2) // _CHUNK)
+    homes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(homes, -(-tokens // BUCKET_TOKENS))
+    common = Common(words, count, followed, tokens, vocabulary, buckets, homes)
+    sc = spark.sparkContext
+    shared = sc.broadcast(common)
+
+    # a sweep's tasks, then those that add sums
+    parts = homes + -(-(2 * len(words) + 2) // _CHUNK)
+    dealt = texts.mapInArrow(_dealt_pairs(shared), "bucket int, data binary").repartitionById(parts, F.col("bucket") % homes)
+    merged = dealt.mapInArrow(_merged(shared), "bucket int, v long, w long, n long, data string")
+    # one element for each partition and batch, so that pairs and messages meet without another Python worker
+    single = BatchedSerializer(CPickleSerializer(), 1)
+    stored = (merged.rdd if tokens else sc.parallelize([], parts)).mapPartitions(_held)._reserialize(single)
+    checkpoint_folder(spark)
+    stored.checkpoint()
+    stored.take(1)  # any job has the whole written
+    # nothing refers to what was dealt any more, so that its files can go
+    stored = RDD(stored._jrdd, sc, single)
+    del dealt, merged
+    deal = lambda told: told.partitionBy(parts, int).values()
+    told = deal(stored.mapPartitions(_started(shared))) if sample_rare else sc.parallelize([], parts)
     state, samples = common.first(), []
     for sweep in range(BURN + SAMPLES):
-        sent = spark.sparkContext.broadcast(state)
-        swept = pairs.where("data IS NOT NULL").select("data").mapInArrow(_swept(shared, sent), "chunk int, data binary")
-        got = swept.repartitionById(chunks, F.col("chunk")).mapInArrow(_added, "chunk int, data binary").collect()
+        sent = sc.broadcast(state)
+        kept = sweep - BURN if sweep >= BURN else None
+        rows = stored.zip(told.mapPartitions(_at_once)._reserialize(single))
+        # dealt once: what was written for the sums also serves the next sweep and the scores
+        told = deal(rows.mapPartitions(_swept(shared, sent, sample_rare, kept, sweep == BURN + SAMPLES - 1)))
+        got = sc.runJob(told, _added, range(homes, parts))
         sums = np.zeros(2 * len(words) + 2, np.int64)
         for chunk, data in got:
             x = np.frombuffer(data, np.int64)
@@ -794,31 +1013,32 @@ def train(slim: DataFrame) -> Model:
         if sweep >= BURN:
             samples.append(sample)
     model = Model(common, samples)
-    hot = sorted((r["v"], r["w"], r["n"]) for r in pairs.where("v IS NOT NULL").select("v", "w", "n").collect())
+    hot = sorted(stored.flatMap(lambda x: x[1]).collect())
     if hot:
         v, w, c = (np.array(x, np.int64) for x in zip(*hot, strict=True))
         tables = [draw_tables(c, DISCOUNT * s.start.x[v] * s.start.p[w], DISCOUNT, keyed(words[v], words[w], s.start.sweep)) for s in samples]
         model.hot = (v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
         model.hot_score = np.log10(model.pairs(v, w, c, tables))
-    return model
+    return model, spark.createDataFrame(told.mapPartitions(_draws), "bucket int, part long, kind int, data binary", verifySchema=False)
 
 
-def score(docs: DataFrame, learns: Column, held_out: Column) -> DataFrame:
+def score(docs: DataFrame, learns: Column, held_out: Column, sample_rare: bool = False) -> DataFrame:
     """For each row: doc_id, held_out boolean, n_tokens, n_known, train_tokens long, base_score, score double.
 
     Learns from the texts of rows where ``learns`` holds (null: doesn't), scores all. A text's tokens are its words,
     A-Z lower-cased, then one end; a null text has the end alone. ``score`` is the model's log10 probability of the
     text, ``base_score`` that of smoothed counts; without training rows both are those of a uniform guess. Rows keep
     their number, repeated ones and null doc_ids too; an empty table gives an empty one; other columns aren't read. A
-    very long text is a block by itself.
+    very long text is a block by itself. ``sample_rare``: the tables of pairs of two rare words are sampled with all
+    others, else such a pair always sits at one.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learns, F.lit(False)).alias("learns"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    model = train(slim)
+    model, draws = train(slim, sample_rare)
     shared = spark.sparkContext.broadcast(model)
     buckets = model.common.buckets
     dealt = slim.mapInArrow(_dealt_texts(shared), "bucket int, part long, kind int, data binary")
-    scored = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_scored(shared), "part long, kind int, data binary")
+    scored = dealt.unionAll(draws).repartitionById(buckets, F.col("bucket")).mapInArrow(_scored(shared), "part long, kind int, data binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     home = scored.repartition(buckets, "part").sortWithinPartitions("part", (F.col("kind") != 1).cast("int"))
     return home.mapInArrow(_summed(model.common.tokens, len(model.samples)), schema)

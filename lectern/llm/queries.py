@@ -47,7 +47,7 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pitman.score(table(spark, sf_dir, "documents"), learns=_crc(10) != 0, held_out=_crc(10) == 0)
+    return pitman.score(table(spark, sf_dir, "documents"), learns=_crc(10) != 0, held_out=_crc(10) == 0, sample_rare=True)
 
 
 def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -637,6 +637,50 @@ def test_scores_equal_a_plain_sampler(spark, edges, monkeypatch, share):
     assert sum(plain.probability(v, w) for w in [*plain.count, 1]) == pytest.approx(1)
 
 
+class WholeChain(PlainModel):
+    """One chain over all words; share: only what draws of pairs of two rare words are known by depends on it."""
+
+    def __init__(self, texts, share):
+        self.cut = share
+        super().__init__(texts, 1 << 18)
+
+    def draw(self, c, price, d, *key):
+        if len(key) == 3 and all(k in self.count and self.count[k] * self.cut < self.n for k in key[:2]):
+            key = (key[0] >> 24, key[1] >> 24, key[2])
+        return super().draw(c, price, d, *key)
+
+
+@pytest.mark.parametrize("share", [1 << 18, 60, 1])
+def test_pairs_of_rare_words_are_sampled(spark, edges, monkeypatch, share):
+    """Whichever words are rare, their pairs are part of the chain; with parts of any size and in any order."""
+    monkeypatch.setattr(pitman, "SHARE", share)
+    monkeypatch.setattr(pitman, "HOT", 200)
+    rows = [r for r in edges if r[0] != 50] + [(100 + i, *rest) for i, *rest in chains(7, 60)] + [(300, "the " * 2000, None, None), (301, None, None, None)]
+    plain = WholeChain([t for i, t, *_ in rows if i is not None and i % 5], share)
+    rare = [p for p in plain.pairs if all(w in plain.count and plain.count[w] * share < plain.n for w in p)]
+    assert share == 1 << 18 or any(t[p] > 1 for t, *_ in plain.samples for p in rare)
+    docs = table(spark, rows)
+    for parts, blocks, buckets in ((1, 4096, 1 << 20), (5, 7, 300)):
+        monkeypatch.setattr(pitman, "BLOCK_TEXTS", blocks)
+        monkeypatch.setattr(pitman, "BUCKET_TOKENS", buckets)
+        out = pitman.score(docs.repartition(parts), F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 == 0, sample_rare=True).collect()
+        got = {r.doc_id: r.score for r in out}
+        assert len(out) == len(rows)
+        for i, text, *_ in rows:
+            if i is not None:
+                assert got[i] == pytest.approx(plain.score(text), rel=1e-6)
+
+
+def test_meetings_agree_where_short_hashes_clash():
+    """Both sides list the same pairs, though one side merges words whose 40 bits are equal."""
+    v1, v2, w = ((np.uint64(5) << np.uint64(24)) + np.uint64(k) for k in (1, 2, 1 << 30))
+    rare = lambda owners, owner, kind, other, n: pitman.Pairs(*[np.zeros(0, np.int64)] * 3, np.array(owners), np.array(owner), np.array([kind] * len(n), np.uint8), np.array(other), np.array(n))
+    of = rare([v1, v2], [0, 1], pitman._OF_RARE, [w >> np.uint64(24)] * 2, [1, 1]).meetings(pitman._OF_RARE, 4)
+    in_ = rare([w], [0], pitman._IN_RARE, [v1 >> np.uint64(24)], [2]).meetings(pitman._IN_RARE, 4)
+    assert len(of.owner) == len(in_.owner) == 1 and list(of.rows) == [0, 1] and list(of.group) == [0, 0]
+    assert (of.left[0], of.right[0]) == (in_.left[0], in_.right[0])
+
+
 def test_base_figures(spark, edges):
     rows = [r for r in edges if r[0] not in (None, 50)] + [(50, " ".join((edges[0][1] + " ") * 3), "en", "a")]
     got = {r.doc_id: r for r in pitman.score(table(spark, rows), F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 == 0).collect()}
