@@ -39,6 +39,8 @@ Words are known by 64-bit hashes.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -447,6 +449,18 @@ def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def _lean(run):
+    """``run``, whose freed memory goes back to the system when it ends: an idle Python worker holds none beside those at work."""
+
+    def lean(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a libc without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return lean
+
+
 def _narrow(x: np.ndarray) -> np.ndarray:
     """Counts of 32 bits; there are no larger ones in a block of texts."""
     return x.astype(np.uint32)
@@ -966,7 +980,7 @@ def train(slim: DataFrame, sample_rare: bool) -> tuple[Model, DataFrame]:
     """Counts and samples, and the kept draws (bucket, part, kind, data); slim: text, learns."""
     spark = slim.sparkSession
     texts = slim.where("learns").select("text")
-    counted = checkpointed(texts.mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counted = checkpointed(texts.mapInArrow(_lean(_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     end = F.sum(F.when(F.col("word") == int(_END.astype(np.int64)), F.col("n")).otherwise(0))
     vocabulary, tokens, ends = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(end, F.lit(0))).first()
     found = counted.where(F.col("n") * SHARE >= tokens).toArrow()
@@ -983,8 +997,8 @@ def train(slim: DataFrame, sample_rare: bool) -> tuple[Model, DataFrame]:
 
     # a sweep's tasks, then those that add sums
     parts = homes + -(-(2 * len(words) + 2) // _CHUNK)
-    dealt = texts.mapInArrow(_dealt_pairs(shared), "bucket int, data binary").repartitionById(parts, F.col("bucket") % homes)
-    merged = dealt.mapInArrow(_merged(shared), "bucket int, v long, w long, n long, data string")
+    dealt = texts.mapInArrow(_lean(_dealt_pairs(shared)), "bucket int, data binary").repartitionById(parts, F.col("bucket") % homes)
+    merged = dealt.mapInArrow(_lean(_merged(shared)), "bucket int, v long, w long, n long, data string")
     # one element for each partition and batch, so that pairs and messages meet without another Python worker
     single = BatchedSerializer(CPickleSerializer(), 1)
     stored = (merged.rdd if tokens else sc.parallelize([], parts)).mapPartitions(_held)._reserialize(single)
@@ -995,14 +1009,14 @@ def train(slim: DataFrame, sample_rare: bool) -> tuple[Model, DataFrame]:
     stored = RDD(stored._jrdd, sc, single)
     del dealt, merged
     deal = lambda told: told.partitionBy(parts, int).values()
-    told = deal(stored.mapPartitions(_started(shared))) if sample_rare else sc.parallelize([], parts)
+    told = deal(stored.mapPartitions(_lean(_started(shared)))) if sample_rare else sc.parallelize([], parts)
     state, samples = common.first(), []
     for sweep in range(BURN + SAMPLES):
         sent = sc.broadcast(state)
         kept = sweep - BURN if sweep >= BURN else None
         rows = stored.zip(told.mapPartitions(_at_once)._reserialize(single))
         # dealt once: what was written for the sums also serves the next sweep and the scores
-        told = deal(rows.mapPartitions(_swept(shared, sent, sample_rare, kept, sweep == BURN + SAMPLES - 1)))
+        told = deal(rows.mapPartitions(_lean(_swept(shared, sent, sample_rare, kept, sweep == BURN + SAMPLES - 1))))
         got = sc.runJob(told, _added, range(homes, parts))
         sums = np.zeros(2 * len(words) + 2, np.int64)
         for chunk, data in got:
@@ -1037,8 +1051,8 @@ def score(docs: DataFrame, learns: Column, held_out: Column, sample_rare: bool =
     model, draws = train(slim, sample_rare)
     shared = spark.sparkContext.broadcast(model)
     buckets = model.common.buckets
-    dealt = slim.mapInArrow(_dealt_texts(shared), "bucket int, part long, kind int, data binary")
-    scored = dealt.unionAll(draws).repartitionById(buckets, F.col("bucket")).mapInArrow(_scored(shared), "part long, kind int, data binary")
+    dealt = slim.mapInArrow(_lean(_dealt_texts(shared)), "bucket int, part long, kind int, data binary")
+    scored = dealt.unionAll(draws).repartitionById(buckets, F.col("bucket")).mapInArrow(_lean(_scored(shared)), "part long, kind int, data binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     home = scored.repartition(buckets, "part").sortWithinPartitions("part", (F.col("kind") != 1).cast("int"))
     return home.mapInArrow(_summed(model.common.tokens, len(model.samples)), schema)
